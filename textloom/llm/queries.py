@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from textloom.llm.jaccard_join import op7_jaccard_join
 from textloom.llm.substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
