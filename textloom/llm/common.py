@@ -46,7 +46,7 @@ def store(df: DataFrame) -> DataFrame:
     """Writes a phase's result as Parquet into the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -146,16 +146,46 @@ def runs(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     return mix(out)
 
 
+class Shingles:
+    """The distinct k-word shingles of a block, sorted within each document: values, their rows, bounds by row.
+
+    With fewer than k words a document's whole sequence is its one shingle; without words it has none.
+    """
+
+    def __init__(self, words: Words, k: int):
+        rows = len(words.bounds) - 1
+        sizes = np.diff(words.bounds)
+        grams = words.runs(k)
+        room = np.maximum(sizes - k + 1, (sizes > 0).astype(sizes.dtype))
+        bounds = np.concatenate([[0], np.cumsum(room)])
+        values = np.zeros(bounds[-1], np.uint64)
+        for row in range(rows):
+            n, at, to = int(sizes[row]), int(bounds[row]), int(bounds[row + 1])
+            if n >= k:
+                first = int(words.bounds[row])
+                values[at:to] = np.sort(grams[first : first + to - at])
+            elif n:
+                values[at] = runs(words.hashes[words.of(row)], n)[0] ^ np.uint64(n)
+        owner = np.repeat(np.arange(rows), room)
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        self.values, self.owner = values[new], owner[new]
+        self.sizes = np.bincount(self.owner, minlength=rows)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def of(self, row: int) -> np.ndarray:
+        return self.values[self.bounds[row] : self.bounds[row + 1]]
+
+    def place(self) -> np.ndarray:
+        """Each value's place in its document's set."""
+        return np.arange(len(self.values)) - self.bounds[self.owner]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values by row, modulo 2^64."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+
+
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
-    """Each row's distinct k-word shingles, sorted; with fewer words the whole sequence is one shingle."""
-    grams, out = words.runs(k), []
-    for row in range(len(words.bounds) - 1):
-        at = words.of(row)
-        n = at.stop - at.start
-        if n >= k:
-            out.append(np.unique(grams[at.start : at.stop - k + 1]))
-        elif n:
-            out.append(runs(words.hashes[at], n) ^ np.uint64(n))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    found = Shingles(words, k)
+    return [found.of(row) for row in range(len(found.sizes))]

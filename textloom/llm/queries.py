@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from textloom.llm.bpe import op3_byte_bpe
 from textloom.llm.jaccard_join import op7_jaccard_join
 from textloom.llm.substring_dedup import op1_substring_dedup
+from textloom.llm.token_output import op5_token_output
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_byte_bpe, op5_token_output, op7_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
