@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from textloom.llm.bpe import op3_byte_bpe
+from textloom.llm.fingerprint import op4_fingerprints
+from textloom.llm.html_extract import op9_html_extract
 from textloom.llm.jaccard_join import op7_jaccard_join
+from textloom.llm.language_id import op6_language_id
 from textloom.llm.substring_dedup import op1_substring_dedup
 from textloom.llm.token_output import op5_token_output
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_byte_bpe, op5_token_output, op7_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_byte_bpe, op4_fingerprints, op5_token_output, op6_language_id, op7_jaccard_join, op9_html_extract)}
 ORACLE_SQL: dict[str, str] = {}
