@@ -103,13 +103,14 @@ def _cut(window: int):
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([raw[a:b] for a, b in spans]).decode())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            carried = rows.drop_columns(["text", "whole", "positions"])
+            yield pa.RecordBatch.from_arrays([*carried.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*carried.schema.names, "n_words", "n_removed", "kept"])
 
     return run
 
 
-def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per row of df (doc_id, text): doc_id, n_words, n_removed, kept (words joined by one space).
+def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of df (doc_id, text): doc_id, the columns to carry, n_words, n_removed, kept (words joined by one space).
 
     Null or empty text: no words, nothing removed. Null doc_id: the row is kept whole and is nobody's earlier
     document. Rows that repeat a doc_id are not earlier than each other. Other columns are ignored. An empty table
@@ -141,7 +142,10 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     discard(windows, seeds, classes)
     release(spark)
 
-    return docs.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "whole", "positions").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
+    rows = rows.withColumn("key", F.xxhash64("text")).join(found, ["doc_id", "key"], "left").drop("key")
+    schema = rows.select("doc_id", *carry).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return rows.mapInArrow(_cut(window), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
