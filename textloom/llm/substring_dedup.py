@@ -122,8 +122,10 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K, carry: tupl
 
     # seeds: anchors that two different texts share, listed by text
     anchors = named.mapInArrow(_anchors(window, k), "anchor long, key long")
-    shared = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("anchor")
+    shared = store(anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("anchor"))
+    release(spark)
     seeds = store(anchors.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
+    discard(shared)
     release(spark)
 
     # equal texts are a class; its first document stands for it, all others are copies
@@ -136,10 +138,11 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K, carry: tupl
     firsts = classes.select("key", F.col("first_id").alias("doc_id")).join(seeds, "key")
     windows = store(named.join(firsts, ["key", "doc_id"]).select("doc_id", "key", "text", "anchors").mapInArrow(_windows(window, k), "w long, w2 int, doc_id long, key long, pos int"))
     release(spark)
-    earliest = windows.groupBy("w", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("w", "w2", "a")
+    earliest = store(windows.groupBy("w", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("w", "w2", "a"))
+    release(spark)
     repeats = windows.join(earliest, ["w", "w2"]).filter("doc_id > a").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("positions"))
     found = store(repeats.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True))
-    discard(windows, seeds, classes)
+    discard(windows, earliest, seeds, classes)
     release(spark)
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
