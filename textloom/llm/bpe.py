@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from textloom.llm.common import blocks, documents
 
 #: The byte-level pattern of the public vocabularies: a space goes with what follows it. (A fixed value.)
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers; past that it starts afresh.
-REMEMBERED = 1 << 19
+#: Chunks of text whose ids a worker remembers, twice.
+REMEMBERED = 3 << 18
 #: Buckets of the literal rank map, each a small map that is searched in order.
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
@@ -87,58 +88,82 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class WordTable:
-    """Texts -> for each, the encodings of its words in order. ``encode`` takes new words and gives a value for each.
+    """Texts -> for each, the encodings of its chunks in order. ``encode`` gives a value for each of some new words,
+    ``join`` the value of several words' values.
 
     Where every match of the pattern that holds a space begins with it (SPACE_LED), a text falls into chunks at its
-    spaces, and a chunk's words are looked up at once; other texts and patterns are matched in full.
+    spaces, and a chunk's words are encoded once; other texts and patterns are encoded whole. What was encoded is
+    remembered, in two generations of bounded size, by the worker process: also for its next tasks.
     """
 
-    def __init__(self, pattern: str, encode):
+    def __init__(self, pattern: str, encode, join):
         import regex
 
-        self.split, self.encode, self.led = regex.compile(pattern).findall, encode, pattern == SPACE_LED
-        self.words: dict[str, object] = {}
-        self.chunks: dict[str, list] = {}
+        self.split, self.encode, self.join, self.led = regex.compile(pattern).findall, encode, join, pattern == SPACE_LED
+        self.chunks: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
-    def _learn(self, texts: set[str]) -> list[list]:
+    def _learn(self, texts: list[str]) -> list:
         listed = [self.split(x) for x in texts]
-        new = list({x for words in listed for x in words}.difference(self.words))
-        self.words.update(zip(new, self.encode(new), strict=True))
-        return [[self.words[x] for x in words] for words in listed]
+        new = list({x for words in listed for x in words})
+        values = dict(zip(new, self.encode(new), strict=True))
+        return [values[words[0]] if len(words) == 1 else self.join([values[x] for x in words]) for words in listed]
 
     def lookup(self, texts: list[str]) -> Iterator[list]:
-        """For each text a list of lists of values."""
-        if len(self.words) > REMEMBERED or len(self.chunks) > REMEMBERED:
-            self.words.clear()
-            self.chunks.clear()
-        plain = [not self.led or "  " in x or x[-1:] == " " for x in texts]
-        parts = [[x] if whole else x.split(" ") for x, whole in zip(texts, plain, strict=True)]
-        new = list({x for own, whole in zip(parts, plain, strict=True) if not whole for x in own[1:]}.difference(self.chunks))
-        self.chunks.update(zip(new, self._learn([f" {x}" for x in new]), strict=True))
+        """For each text a list of values."""
+        if len(self.chunks) > REMEMBERED:
+            self.chunks, self.older = {}, self.chunks
+        whole = [not self.led or "  " in x or x[-1:] == " " for x in texts]
+        parts = [[x] if all_ else x.split(" ") for x, all_ in zip(texts, whole, strict=True)]
         firsts = self._learn([own[0] for own in parts])
-        chunks = self.chunks
-        for first, own in zip(firsts, parts, strict=True):
-            yield [first, *[chunks[x] for x in own[1:]]]
+        get = self.chunks.get
+        found = [list(map(get, own[1:])) for own in parts]
+        missing = {x for values, own in zip(found, parts, strict=True) if None in values for v, x in zip(values, own[1:], strict=True) if v is None}
+        known = {x: v for x in missing if (v := self.older.get(x)) is not None}
+        new = list(missing.difference(known))
+        known.update(zip(new, self._learn([f" {x}" for x in new]), strict=True))
+        self.chunks.update(known)
+        for first, values, own in zip(firsts, found, parts, strict=True):
+            if None in values:
+                values = [v if v is not None else known[x] for v, x in zip(values, own[1:], strict=True)]
+            values.insert(0, first)
+            yield values
 
 
-def _bpe(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        pieces = {v: k for k, v in ranks.items()}
+#: The worker process's tables, by what they encode with.
+_TABLES: dict[tuple, WordTable] = {}
+
+
+def table_of(key: tuple, make) -> WordTable:
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
 
-        def encode(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-            for word in words:
-                ids = fold(word.encode(), ranks)
-                yield np.array(ids, np.int32).tobytes(), b"".join([pieces[x] for x in ids])
+def _ranked(path: str, pattern: str) -> WordTable:
+    """Words as (ids as 32-bit integers, the bytes that their pieces make)."""
+    ranks = read_ranks(path)
+    pieces = {v: k for k, v in ranks.items()}
 
-        table = WordTable(pattern, encode)
+    def encode(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        for word in words:
+            ids = fold(word.encode(), ranks)
+            yield array("i", ids).tobytes(), b"".join([pieces[x] for x in ids])
+
+    return WordTable(pattern, encode, lambda values: (b"".join([x for x, _ in values]), b"".join([x for _, x in values])))
+
+
+def _bpe(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(("ranks", path, pattern), lambda: _ranked(path, pattern))
         for rows, data, offsets in blocks(batches):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             ids, decoded = [], []
-            for chunks in table.lookup(texts):
-                ids.append(b"".join([x for own in chunks for x, _ in own]))
-                decoded.append(b"".join([x for own in chunks for _, x in own]))
+            for values in table.lookup(texts):
+                ids.append(b"".join([x for x, _ in values]))
+                decoded.append(b"".join([x for _, x in values]))
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), listed, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
