@@ -12,7 +12,6 @@ gathers is one block's ids: both follow from the number of blocks, which grows w
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import WordTable
+from textloom.llm.bpe import SPACE_LED, WordTable, table_of
 from textloom.llm.common import blocks, discard, documents, release, shared_dir, store
 
 #: Documents in a block, about.
@@ -33,45 +32,68 @@ LENGTHS = ((np.arange(256, dtype=np.uint8)[:, None] >> _SHIFTS) & 3) + 1
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers."""
-    ranks = ranks.astype("<u4")
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
     control = (padded.reshape(-1, 4) << _SHIFTS).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    ends = np.cumsum(extra + np.int64(1))
+    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - extra - 1
+    data[starts] = ranks & 0xFF
+    for more in range(1, int(extra.max(initial=0)) + 1):
+        at = np.flatnonzero(extra >= more)
+        data[starts[at] + more] = ranks[at] >> 8 * more & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n numbers of pack()."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")
+    packed = np.frombuffer(data, np.uint8)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = packed[starts].astype(np.uint32)
+    for more in range(1, int(lengths.max(initial=1))):
+        at = np.flatnonzero(lengths > more)
+        out[at] |= packed[starts[at] + more].astype(np.uint32) << np.uint32(8 * more)
+    return out
 
 
-def _encode(path: str, pattern: str, end: int, kind: str):
-    """doc_id, n, ids (little-endian, with the end id). Each distinct word of a task is encoded once."""
+def _tokenized(path: str, pattern: str, kind: str) -> WordTable:
+    """Words as their ids' bytes. New words are encoded many at a time, as the lines of one text; a line end between
+    words that are not white space is a word of its own and has an id of its own."""
+    import os
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+    def encode(words: list[str]) -> Iterator[bytes]:
+        many = {} if len(line) != 1 or pattern != SPACE_LED else {x: b"" for x in words if not x.isspace() and "\n" not in x}
+        listed = list(many)
+        for at in range(0, len(listed), 5000):
+            part = listed[at : at + 5000]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, kind)
+            cuts = [-1, *np.flatnonzero(ids == line[0]).tolist(), len(ids)]
+            many.update((x, ids[a + 1 : b].tobytes()) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for x in words:
+            yield many[x] if x in many else np.array(tokenizer.encode(x, add_special_tokens=False).ids, kind).tobytes()
 
-        def encode(words: list[str]) -> Iterator[bytes]:
-            for at in range(0, len(words), 10000):
-                for own in tokenizer.encode_batch_fast(words[at : at + 10000], add_special_tokens=False):
-                    yield np.array(own.ids, kind).tobytes()
+    return WordTable(pattern, encode, b"".join)
 
-        table, last = WordTable(pattern, encode), np.array([end], kind).tobytes()
+
+def _encode(path: str, pattern: str, end: int, kind: str):
+    """doc_id, n, ids (little-endian, with the end id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(("tokenizer", path, pattern, kind), lambda: _tokenized(path, pattern, kind))
+        last = np.array([end], kind).tobytes()
         for rows, data, offsets in blocks(batches):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            ids = [b"".join([x for own in chunks for x in own]) + last for chunks in table.lookup(texts)]
+            ids = [b"".join(values) + last for values in table.lookup(texts)]
             n = pa.array([len(x) // len(last) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -197,16 +219,10 @@ def token_output(df: DataFrame, path: str, tokenizer: str, pattern: str, end: in
     return read_ids(spark, path)
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        crc = pa.array([zlib.crc32(v) for v in x.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("doc_id", "start", "n_tokens")), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op5_token_output(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     read = token_output(docs, out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
-    return read.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
