@@ -93,7 +93,8 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.tables = [dict(zip(keys, values, strict=True)) for keys, values in model["tables"]]
-        self.words: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((1 << 16, len(self.langs)))
 
     def word(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
@@ -102,20 +103,23 @@ class Scorer:
         for n in range(LONGEST, 0, -1):
             found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return np.zeros(len(self.langs))
 
     def text(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
             return "und", 0.0
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        counts = Counter(words)
-        for w in counts.keys() - self.words.keys():
-            self.words[w] = self.word(w)
-        known = self.words
-        total = np.array(list(counts.values()), np.float64) @ np.array([known[w] for w in counts])
+        if len(self.rows) > REMEMBERED:
+            self.rows.clear()
+        counts, rows = Counter(words), self.rows
+        for w in counts:
+            if w not in rows:
+                if len(rows) == len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.scores[len(rows)] = self.word(w)
+                rows[w] = len(rows)
+        total = np.fromiter(counts.values(), np.float64, len(counts)) @ self.scores[np.fromiter(map(rows.__getitem__, counts), np.int64, len(counts))]
         best = int(total.argmax())
         return self.langs[best], 1 / math.fsum(np.exp(np.maximum(total - total[best], -700)).tolist())
 
