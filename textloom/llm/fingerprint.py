@@ -18,8 +18,8 @@ from textloom.llm.common import documents
 from textloom.llm.token_output import _range_of
 
 BUCKETS = 256
-#: Documents in a range, about.
-RANGE_ROWS = 512
+#: Documents in a range, about, and most ranges: a row for each is sent to all tasks.
+RANGE_ROWS, RANGES = 512, 50_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _FIRST, _SECOND, _THIRD = (_rng.permutation(256).astype(np.uint8) for _ in range(3))
 #: Difference of bucket codes 0..3 apart, and the most that length and ratio codes add.
@@ -92,7 +92,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
     every task sees its rows' followers and nothing is ordered in one place.
     """
     docs = documents(df)
-    n = max(1, -(-docs.count() // RANGE_ROWS))
+    n = min(RANGES, max(1, -(-docs.count() // RANGE_ROWS)))
     parts = min(1000, n)
     cuts = docs.select(F.approx_percentile("doc_id", [i / parts for i in range(1, parts)], 20000).alias("cuts")).first().cuts if parts > 1 else []
     dealt = docs.withColumn("block", _range_of(sorted(set(cuts or [])), n))
@@ -103,9 +103,9 @@ def fingerprints(df: DataFrame) -> DataFrame:
     order = Window.orderBy("block")
     following = firsts.select("first", F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     ids = following.select(F.col("first.doc_id").alias("first_id"), "to")
-    extras = docs.join(ids, docs.doc_id.eqNullSafe(F.col("first_id"))).select(F.col("to").alias("block"), F.lit(True).alias("extra"), "doc_id", "text")
+    extras = docs.join(F.broadcast(ids), docs.doc_id.eqNullSafe(F.col("first_id"))).select(F.col("to").alias("block"), F.lit(True).alias("extra"), "doc_id", "text")
     rows = dealt.select("block", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extras)
-    rows = rows.repartition(max(1, min(n, 100000)), "block").sortWithinPartitions("block", "extra", F.asc_nulls_first("doc_id"), "text")
+    rows = rows.repartition(n, "block").sortWithinPartitions("block", "extra", F.asc_nulls_first("doc_id"), "text")
     return rows.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
