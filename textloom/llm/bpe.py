@@ -25,7 +25,7 @@ from textloom.llm.common import blocks, documents
 #: The byte-level pattern of the public vocabularies: a space goes with what follows it. (A fixed value.)
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks of text whose ids a worker remembers, twice.
-REMEMBERED = 3 << 18
+REMEMBERED = 3 << 17
 #: Buckets of the literal rank map, each a small map that is searched in order.
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
