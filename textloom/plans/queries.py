@@ -261,7 +261,8 @@ def readability(spark, d):
 
 @query(f"WITH {tok()} SELECT {POS} AS pos, count(*) AS n FROM tok GROUP BY ALL")
 def pos_default_tags(spark, d):
-    return toks(spark, d).groupBy(A.pos_of(F.col("value")).alias("pos")).agg(count_of())
+    counts = toks(spark, d).groupBy("value").agg(count_of())
+    return counts.groupBy(A.pos_of(F.col("value")).alias("pos")).agg(F.sum("n").alias("n"))
 
 
 _OPEN = listed(L.OPEN_CLASSES)
