@@ -31,3 +31,41 @@ ENTITIES = ("email", "url", "mention", "hashtag", "emoji", "emoticon", "time", "
 ENTITY_NAMES = {"number": "CARDINAL", "decade": "DATE"}
 #: Patterns of syllables: a word's groups of vowels, less a silent end, at least one.
 SILENT_END = "e$"
+
+#: Rules that rewrite default tags, in order: tag, new tag, the tag before, the tag after (None: any).
+POS_RULES = (
+    ("VERB", "ADJ", "DET", "NOUN"),
+    ("VERB", "NOUN", "DET", None),
+    ("NOUN", "VERB", "PRON", None),
+    ("NOUN", "VERB", "PART", "DET"),
+    ("ADJ", "NOUN", "DET", "VERB"),
+    ("ADJ", "NOUN", "DET", "PUNCT"),
+    ("DET", "PRON", None, "VERB"),
+    ("DET", "PRON", None, "AUX"),
+)
+#: What a lower-cased token may be in an entity of several tokens: a letter and the pattern that gives it, the first one that fits.
+HINTS = (
+    ("d", r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2}))$"),
+    ("y", r"^(?:1[2-9]\d\d|20\d\d|2100)$"),
+    ("n", r"^\d+(?:[.,]\d+)*$"),
+    ("o", r"^\d+(?:st|nd|rd|th)$"),
+    ("t", r"^\d{1,2}(?::\d{2})(?:am|pm)?$|^\d{1,2}(?:am|pm)$"),
+    ("c", r"^[$€£¥]$"),
+    ("w", r"^(?:dollars?|euros?|pounds?|cents?)$"),
+    ("p", r"^(?:%|percent)$"),
+    ("u", r"^(?:seconds?|minutes?|hours?|days?|weeks?|months?|years?)$"),
+    ("m", r"^(?:january|february|march|april|may|june|july|august|september|october|november|december)$"),
+    ("v", r"^,$"),
+    ("D", r"^'\d0s$"),
+)
+#: Entities by the letters of their tokens; longer ways stand first.
+PHRASES = (("MONEY", "c[ny]|[ny]w"), ("PERCENT", "[ny]p"), ("DURATION", "[ny]u"), ("DATE", "m[no]vy|m[no]y|[no]my|m[noy]|[no]m|d|D"), ("TIME", "t"), ("ORDINAL", "o"), ("CARDINAL", "[ny]"))
+
+
+def phrase_pattern() -> str:
+    """An ordered alternation over tokens written as letter, U+0001, value, U+0002: entities, the longer first, else one token."""
+    import re
+
+    ways = sorted((way for _, own in PHRASES for way in own.split("|")), key=lambda w: -len(re.findall(r"\[.*?\]|.", w)))
+    token = lambda letter: f"{letter}\x01[^\x02]*\x02"
+    return "|".join("".join(token(x) for x in re.findall(r"\[.*?\]|.", way)) for way in ways) + "|" + token("[a-zA-Z]")

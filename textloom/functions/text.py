@@ -60,6 +60,20 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(found, lambda t: F.when(t.rlike(NEGATED), F.array(F.substring(t, 1, F.length(t) - 3), F.right(t, F.lit(3)))).otherwise(F.array(t))))
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The tokens of a text as structs of value and spaces, the white space before it. Null: null."""
+    both = rf"([\s\x{{A0}}\x{{2002}}-\x{{2005}}\x{{2009}}\x{{200A}}\x{{202F}}\x{{205F}}]*?)({PATTERN})"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("spaces"), F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("value"))
+    one = lambda spaces, value: F.struct(value.alias("value"), spaces.alias("spaces"))
+
+    def split(p: Column) -> Column:
+        t = p["value"]
+        halves = F.array(one(p["spaces"], F.substring(t, 1, F.length(t) - 3)), one(F.lit(""), F.right(t, F.lit(3))))
+        return F.when(t.rlike(NEGATED), halves).otherwise(F.array(one(p["spaces"], t)))
+
+    return F.flatten(F.transform(pairs, split))
+
+
 def type_of(token: Column) -> Column:
     out = F.lit("punctuation")
     for name, pattern in reversed(TYPES):

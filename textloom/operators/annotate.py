@@ -26,6 +26,11 @@ def tokenize(df: DataFrame, text: str = "text", key: str = "doc_id", *carry: str
     return df.select(F.col(key).alias("doc_id"), *carry, F.posexplode(T.tokens(F.col(text))).alias("idx", "value"))
 
 
+def tokenize_spaced(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, idx, value, spaces): tokens with the white space before them."""
+    return df.select(F.col(key).alias("doc_id"), F.posexplode(T.spaced_tokens(F.col(text))).alias("idx", "t")).select("doc_id", "idx", "t.value", "t.spaces")
+
+
 def lower(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("normal", F.lower("value"))
 
@@ -83,6 +88,50 @@ def pos_of(token: Column) -> Column:
     return out
 
 
+def contextual_pos(sentenced: DataFrame) -> DataFrame:
+    """With pos: default tags, rewritten by the lexicon's rules in order, each over its sentence as the last one left it.
+
+    All passes share one partitioning and order, so that they need one exchange.
+    """
+    rows = sentenced.withColumn("pos", pos_of(F.col("value")))
+    for tag, to, before, after in L.POS_RULES:
+        fits = F.col("pos") == tag
+        if before:
+            fits &= F.coalesce(F.lag("pos").over(by_sentence()), F.lit("")) == before
+        if after:
+            fits &= F.coalesce(F.lead("pos").over(by_sentence()), F.lit("")) == after
+        rows = rows.withColumn("pos", F.when(fits, to).otherwise(F.col("pos")))
+    return rows
+
+
+def hint_of(token: Column) -> Column:
+    """One letter for what a token may be in an entity."""
+    low = F.lower(token)
+    out = F.lit("x")
+    for letter, pattern in reversed(L.HINTS):
+        out = F.when(low.rlike(pattern), letter).otherwise(out)
+    return out
+
+
+def phrase_entities(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, first, last, value, entity): the leftmost and longest runs of tokens whose hints make an entity.
+
+    Each token is written as its hint, a sign, its value and another sign; one ordered alternation cuts a text's tokens
+    into entities and other tokens, and a running sum gives positions. U+0001 and U+0002 in a text count as spaces.
+    """
+    own = F.transform(T.tokens(F.translate(F.col(text), "\x01\x02", "  ")), lambda t: F.concat(hint_of(t), F.lit("\x01"), t, F.lit("\x02")))
+    pieces = F.regexp_extract_all(F.array_join(own, ""), F.lit(L.phrase_pattern()), F.lit(0))
+    rows = df.select(F.col(key).alias("doc_id"), F.posexplode(pieces).alias("idx", "piece")).withColumn("n", F.regexp_count("piece", F.lit("\x02")))
+    until = F.sum("n").over(by_doc())
+    shape = F.regexp_replace("piece", "\x01[^\x02]*\x02", "")
+    entity = F.lit(None).cast("string")
+    for name, ways in reversed(L.PHRASES):
+        entity = F.when(shape.rlike(f"^(?:{ways})$"), name).otherwise(entity)
+    found = rows.withColumn("last", until - 1).withColumn("entity", entity).filter("entity is not null")
+    value = F.array_join(F.regexp_extract_all("piece", F.lit("\x01([^\x02]*)\x02"), F.lit(1)), " ")
+    return found.select("doc_id", (F.col("last") - F.col("n") + 1).alias("first"), "last", value.alias("value"), "entity")
+
+
 def lemma_of(token: Column) -> Column:
     low = F.lower(token)
     out = low
@@ -119,6 +168,19 @@ def readability(df: DataFrame) -> DataFrame:
     return out.filter("n_words > 0").withColumn("fres", F.floor(ease.cast("double") + 0.5).cast("long"))
 
 
+def reading_time(stats: DataFrame) -> DataFrame:
+    """readability's rows with minutes and seconds: easier texts are read faster, from 200 words a minute on."""
+    ease = F.lit(206.835).cast("double") - F.lit(1.015).cast("double") * (F.col("n_words") / F.col("n_sentences")) - F.lit(84.6).cast("double") * (F.col("n_syllables") / F.col("n_words"))
+    t = F.col("n_words") / (F.lit(200.0) + ease)
+    return stats.withColumn("mins", F.floor(t).cast("long")).withColumn("secs", F.floor((t - F.floor(t)) * 60 + 0.5).cast("long"))
+
+
+def complex_words(df: DataFrame) -> DataFrame:
+    """(doc_id, term, extra): distinct words of more than three syllables, and by how many they exceed three."""
+    rows = tokenize(df).filter(F.col("value").rlike(r"^[\p{L}]")).select("doc_id", F.lower("value").alias("term")).distinct()
+    return rows.withColumn("extra", (syllables_of(F.col("term")) - 3).cast("long")).filter("extra > 0")
+
+
 def sentence_importance(df: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, importance): by how often a sentence's runs of four tags occur in its document.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +35,73 @@ def bm25_weights(counts: DataFrame, k: float = 1.0, k1: float = 1.2, b: float =
     return rows.select("doc_id", "term", F.round(F.col("w") / F.when(size == 0, 1.0).otherwise(size), precision).alias("w"))
 
 
+@dataclass
+class Bm25:
+    """What a corpus taught: (term, idf), the number of documents and their mean length; and the settings of weights."""
+
+    idf: DataFrame
+    n_docs: int
+    mean_length: float
+    k: float = 1.0
+    k1: float = 1.2
+    b: float = 0.75
+    norm: str = "none"
+    precision: int = 6
+
+    @classmethod
+    def learn(cls, counts: DataFrame, k: float = 1.0, k1: float = 1.2, b: float = 0.75, norm: str = "none", precision: int = 6) -> Bm25:
+        """From (doc_id, term, tf). Raises for settings out of bounds: 0 <= k, k1 <= 100, 0 <= b <= 1, 1 <= precision <= 12."""
+        if norm not in ("none", "l1", "l2") or not (0 <= k <= 100 and 0 <= k1 <= 100 and 0 <= b <= 1 and 1 <= precision <= 12):
+            raise ValueError("settings out of bounds")
+        shape = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+        return cls(bm25_idf(counts, shape.n, k, precision), shape.n, float(shape.mean or 0.0), k, k1, b, norm, precision)
+
+    def terms(self) -> DataFrame:
+        """(term, position) in ascending order; terms are numbered within their first two letters, so not in one task."""
+        rows = self.idf.select("term", F.substring("term", 1, 2).alias("head"))
+        # one row for each pair of letters
+        starts = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+        starts = starts.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("start"))
+        place = F.row_number().over(Window.partitionBy("head").orderBy("term")) - 1
+        return rows.withColumn("place", place).join(starts, "head").select("term", (F.col("start") + F.col("place")).alias("position"))
+
+    def _weights(self, tokens: list[str], keep_unknown: bool) -> DataFrame:
+        spark = self.idf.sparkSession
+        query = spark.createDataFrame(list(Counter(tokens).items()), "term string, tf long")
+        bound = self.k1 * (1 - self.b + self.b * len(tokens) / (self.mean_length or 1.0))
+        known = self.idf if keep_unknown else self.idf.filter("idf <> 0")
+        rows = F.broadcast(query).join(known, "term", "inner") if not keep_unknown else query.join(known, "term", "left")
+        rows = rows.withColumn("w", F.coalesce(F.nullif("idf", F.lit(0.0)), F.lit(1.0)) * F.lit(self.k1 + 1.0) * F.col("tf") / (F.lit(float(bound)) + F.col("tf")))
+        # as many rows as the query has terms
+        own = Window.partitionBy()
+        size = {"none": F.lit(1.0), "l1": F.sum(F.abs("w")).over(own), "l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))}[self.norm]
+        return rows.select("term", F.round(F.col("w") / F.when(size == 0, 1.0).otherwise(size), self.precision).alias("w"))
+
+    def bow_of(self, tokens: list[str], process_oov: bool = False) -> DataFrame:
+        """(term, w) of a list of tokens; unknown terms, and terms of no weight, are left out, or else weigh as of idf 1."""
+        return self._weights(tokens, process_oov)
+
+    def vector_of(self, tokens: list[str]) -> DataFrame:
+        """(term, w) for every term of the corpus, 0 where the tokens lack it."""
+        return self.idf.select("term").join(F.broadcast(self._weights(tokens, False)), "term", "left").select("term", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    def save(self, path: str) -> None:
+        self.idf.write.parquet(f"{path}/idf")
+        settings = (self.n_docs, self.mean_length, float(self.k), float(self.k1), float(self.b), self.norm, self.precision)
+        self.idf.sparkSession.createDataFrame([settings], "n_docs long, mean_length double, k double, k1 double, b double, norm string, precision int").write.json(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bm25:
+        x = spark.read.schema("n_docs long, mean_length double, k double, k1 double, b double, norm string, precision int").json(f"{path}/settings").first()
+        return cls(spark.read.parquet(f"{path}/idf").select("term", "idf"), *x)
+
+
+def doc_term_matrix(weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, positions, weights): each document's row of the matrix, sparse, in ascending positions."""
+    rows = weights.join(terms, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "w"))).alias("cells"))
+    return rows.select("doc_id", F.col("cells.position").alias("positions"), F.col("cells.w").alias("weights"))
+
+
 def bow_cosine(pairs: DataFrame, bags: DataFrame, precision: int = 6) -> DataFrame:
     """(a, b, similarity) of pairs (a, b) by bags (key, term, tf): 1 if both are empty, 0 if one is."""
     left = pairs.join(bags.select(F.col("key").alias("a"), "term", F.col("tf").alias("x")), "a", "left")

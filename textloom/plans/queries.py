@@ -10,6 +10,7 @@ from textloom.functions import text as T
 from textloom.operators import annotate as A
 from textloom.operators import corpus as C
 from textloom.operators import patterns as P
+from textloom.operators import spans as S
 from textloom.sources.tables import read
 
 QUERIES: dict = {}
@@ -396,3 +397,118 @@ def manhattan_nn(spark, d):
 
     rows = read(spark, d, "embeddings")
     return nearest(rows.filter("vec_id % 20 = 0"), rows, "vec_id", "embedding")
+
+
+def _pos_chain() -> str:
+    """One subquery a rule, each over the tags that the last one left."""
+    out = [f"c0 AS (SELECT doc_id, sent_idx, idx, {POS} AS pos FROM sent)"]
+    for i, (tag, to, before, after) in enumerate(L.POS_RULES):
+        fits = f"pos = '{tag}'" + (f" AND coalesce(lag(pos) OVER w, '') = '{before}'" if before else "") + (f" AND coalesce(lead(pos) OVER w, '') = '{after}'" if after else "")
+        out.append(f"c{i + 1} AS (SELECT doc_id, sent_idx, idx, CASE WHEN {fits} THEN '{to}' ELSE pos END AS pos FROM c{i} WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY idx))")
+    return ", ".join(out)
+
+
+@query(f"WITH {tok()}, {SENT}, {_pos_chain()} SELECT pos, count(*) AS n FROM c{len(L.POS_RULES)} GROUP BY ALL")
+def pos_contextual_tags(spark, d):
+    return A.contextual_pos(A.sentences(toks(spark, d))).groupBy("pos").agg(count_of())
+
+
+HINT = case([(f"regexp_matches(lower(t), '{q(p)}')", f"'{h}'") for h, p in L.HINTS], "'x'")
+PHRASE = case([(f"regexp_matches(shape, '^(?:{w})$')", f"'{n}'") for n, w in L.PHRASES], "NULL")
+PHRASES = f"""pieces AS (SELECT doc_id, regexp_extract_all(array_to_string(list_transform(ts, lambda t: ({HINT}) || chr(1) || t || chr(2)), ''), '{L.phrase_pattern()}') AS ps FROM toks),
+piece AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS piece FROM pieces),
+placed AS (SELECT *, len(regexp_extract_all(piece, chr(2))) AS n, sum(len(regexp_extract_all(piece, chr(2)))) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - 1 AS last, regexp_replace(piece, '\x01[^\x02]*\x02', '', 'g') AS shape FROM piece),
+phrases AS (SELECT doc_id, (last - n + 1)::BIGINT AS first, last, array_to_string(regexp_extract_all(piece, '\x01([^\x02]*)\x02', 1), ' ') AS value, entity FROM (SELECT *, {PHRASE} AS entity FROM placed) WHERE entity IS NOT NULL)"""
+
+
+@query(f"WITH {tok()}, {PHRASES} SELECT * FROM phrases")
+def phrase_entity_values(spark, d):
+    return A.phrase_entities(docs(spark, d))
+
+
+def _sentence_spans(spark, d):
+    return A.sentences(toks(spark, d)).groupBy("doc_id", F.col("sent_idx").alias("idx")).agg(F.min("idx").cast("long").alias("first"), F.max("idx").cast("long").alias("last"))
+
+
+SENT_SPANS = "spans AS (SELECT doc_id, sent_idx, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last FROM sent GROUP BY ALL)"
+
+
+@query(f"WITH {tok()}, {SENT}, {SENT_SPANS}, {PHRASES} SELECT doc_id, sent_idx, p.first, value FROM spans s JOIN phrases p USING (doc_id) WHERE p.first <= s.last AND p.last >= s.first")
+def sentence_phrases(spark, d):
+    """The phrases that share a token with each sentence."""
+    found = A.phrase_entities(docs(spark, d)).withColumn("idx", F.col("first"))
+    pairs = S.overlap_join(_sentence_spans(spark, d), found)
+    values = found.select("doc_id", F.col("first").alias("inner_idx"), "value")
+    return pairs.join(values, ["doc_id", "inner_idx"]).select("doc_id", F.col("outer_idx").alias("sent_idx"), F.col("inner_idx").alias("first"), "value")
+
+
+@query(f"""WITH {tok()}, {SENT}, {SENT_SPANS}, {PHRASES} SELECT s.doc_id, sent_idx, CASE WHEN count(p.first) = 0 THEN -1 ELSE count(*) FILTER (p.last < s.first)
+ - CASE WHEN bool_or(p.first <= s.first AND p.last >= s.first) THEN 0 ELSE 0.5 END END::DOUBLE AS place FROM spans s LEFT JOIN phrases p ON p.doc_id = s.doc_id GROUP BY s.doc_id, sent_idx""")
+def locate_sentence_starts(spark, d):
+    """Where each sentence begins among its document's phrases."""
+    spans = A.phrase_entities(docs(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    rows = _sentence_spans(spark, d).join(spans, "doc_id", "left")
+    listed = F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    return rows.select("doc_id", F.col("idx").alias("sent_idx"), S.locate(F.col("first"), listed).alias("place"))
+
+
+@query(f"""WITH {tok()}, {SENT}, r AS (SELECT doc_id, count(*) FILTER (regexp_matches(value, '^[\\p{{L}}]')) AS n_words, max(sent_idx) + 1 AS n_sentences, coalesce(sum({SYLLABLES}) FILTER (regexp_matches(value, '^[\\p{{L}}]')), 0)::BIGINT AS n_syllables FROM sent GROUP BY doc_id),
+t AS (SELECT doc_id, n_words / (200.0::DOUBLE + (206.835::DOUBLE - 1.015::DOUBLE * (n_words::DOUBLE / n_sentences) - 84.6::DOUBLE * (n_syllables::DOUBLE / n_words))) AS t FROM r WHERE n_words > 0)
+SELECT doc_id, floor(t)::BIGINT AS mins, floor((t - floor(t)) * 60 + 0.5)::BIGINT AS secs FROM t""")
+def reading_time(spark, d):
+    return A.reading_time(A.readability(docs(spark, d))).select("doc_id", "mins", "secs")
+
+
+@query(f"WITH {tok()}, w AS (SELECT DISTINCT doc_id, lower(value) AS value FROM tok WHERE regexp_matches(value, '^[\\p{{L}}]')) SELECT doc_id, value AS term, ({SYLLABLES} - 3)::BIGINT AS extra FROM w WHERE {SYLLABLES} > 3")
+def complex_words(spark, d):
+    return A.complex_words(docs(spark, d))
+
+
+ASKED = ["the", "of", "trash", "the", "unseen-term"]
+_asked = f"asked AS (SELECT term, count(*) AS tf FROM (SELECT unnest([{listed(ASKED)}]) AS term) GROUP BY ALL)"
+_bound = f"(1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {len(ASKED)} / mean))"
+
+
+def _model(spark, d, norm="none"):
+    return C.Bm25.learn(C.bag(A.words(toks(spark, d))), norm=norm)
+
+
+@query(f"""WITH {tok()}, {WORDS}, {BM25}, {_asked}, own AS (SELECT term, idf * 2.2::DOUBLE * asked.tf / ({_bound} + asked.tf) AS w FROM asked JOIN idf USING (term), shape WHERE idf <> 0)
+SELECT term, coalesce(round(w / coalesce(nullif((SELECT sqrt(sum(w * w)) FROM own), 0), 1), 6), 0)::DOUBLE AS w FROM idf LEFT JOIN own USING (term)""")
+def bm25_vector_of(spark, d):
+    """A list of words as a vector over the corpus's terms."""
+    return _model(spark, d, "l2").vector_of(ASKED)
+
+
+@query(f"""WITH {tok()}, {WORDS}, {BM25}, {_asked} SELECT term, round(coalesce(nullif(idf, 0), 1.0::DOUBLE) * 2.2::DOUBLE * asked.tf / ({_bound} + asked.tf), 6) AS w FROM asked LEFT JOIN idf USING (term), shape""")
+def bm25_bow_of(spark, d):
+    """A list of words as a bag, unknown ones included."""
+    return _model(spark, d).bow_of(ASKED, process_oov=True)
+
+
+@query(f"WITH {tok()}, {WORDS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS position FROM (SELECT DISTINCT term FROM words)")
+def bm25_terms(spark, d):
+    return _model(spark, d).terms()
+
+
+@query(f"""WITH {tok()}, {WORDS}, {BM25}, p AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS position FROM idf)
+SELECT doc_id, string_agg(position::VARCHAR, ' ' ORDER BY position) AS positions, round(sum(round(w, 6)), 3) AS total FROM raw JOIN p USING (term) GROUP BY doc_id""")
+def bm25_doc_term_matrix(spark, d):
+    """The sparse rows of the matrix: columns, and the sum of their weights."""
+    counts = C.bag(A.words(toks(spark, d)))
+    rows = C.doc_term_matrix(C.bm25_weights(counts), C.Bm25.learn(counts).terms())
+    return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query()
+def custom_entities_by_example(spark, d):
+    """Examples with words, parts of speech, entity types and a mark."""
+    examples = [{"name": "noun phrase", "patterns": ["[|DET] [ADJ] [NOUN]"], "mark": [-2, -1]}, {"name": "amount", "patterns": ["[CARDINAL|MONEY] [of|NOUN]"]}, {"name": "title", "patterns": ["the [PROPN] [|PROPN]"]}]
+    return P.custom_entities(docs(spark, d), examples)
+
+
+@query()
+def marked_phrases(spark, d):
+    """Texts with a sign around every phrase."""
+    found = A.phrase_entities(docs(spark, d)).withColumn("seq", F.col("first"))
+    return S.apply_markings(docs(spark, d), found)
