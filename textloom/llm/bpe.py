@@ -109,25 +109,30 @@ class WordTable:
         values = dict(zip(new, self.encode(new), strict=True))
         return [values[words[0]] if len(words) == 1 else self.join([values[x] for x in words]) for words in listed]
 
+    def _learn_chunks(self, chunks: list[str]) -> dict[str, object]:
+        """Values of chunks with the space before them. One of ASCII letters alone is one word, without the pattern's help."""
+        single = {x: f" {x}" for x in chunks if x.isascii() and x.isalpha()}
+        listed = {x: self.split(f" {x}") for x in chunks if x not in single}
+        new = list({*single.values(), *(w for words in listed.values() for w in words)})
+        values = dict(zip(new, self.encode(new), strict=True))
+        known = {x: values[w] for x, w in single.items()}
+        known.update((x, values[words[0]] if len(words) == 1 else self.join([values[w] for w in words])) for x, words in listed.items())
+        return known
+
     def lookup(self, texts: list[str]) -> Iterator[list]:
         """For each text a list of values."""
         if len(self.chunks) > REMEMBERED:
             self.chunks, self.older = {}, self.chunks
         whole = [not self.led or "  " in x or x[-1:] == " " for x in texts]
         parts = [[x] if all_ else x.split(" ") for x, all_ in zip(texts, whole, strict=True)]
-        firsts = self._learn([own[0] for own in parts])
-        get = self.chunks.get
-        found = [list(map(get, own[1:])) for own in parts]
-        missing = {x for values, own in zip(found, parts, strict=True) if None in values for v, x in zip(values, own[1:], strict=True) if v is None}
+        firsts = self._learn([own.pop(0) for own in parts])
+        missing = set().union(*parts).difference(self.chunks)
         known = {x: v for x in missing if (v := self.older.get(x)) is not None}
-        new = list(missing.difference(known))
-        known.update(zip(new, self._learn([f" {x}" for x in new]), strict=True))
         self.chunks.update(known)
-        for first, values, own in zip(firsts, found, parts, strict=True):
-            if None in values:
-                values = [v if v is not None else known[x] for v, x in zip(values, own[1:], strict=True)]
-            values.insert(0, first)
-            yield values
+        self.chunks.update(self._learn_chunks(list(missing.difference(known))))
+        get = self.chunks.__getitem__
+        for first, own in zip(firsts, parts, strict=True):
+            yield [first, *map(get, own)]
 
 
 #: The worker process's tables, by what they encode with.
