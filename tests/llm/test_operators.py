@@ -236,6 +236,19 @@ def test_quality(spark):
     assert not got[500] and not got[501] and quality.quality(empty(df)).count() == 0
 
 
+def test_quality_toxic(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    clean = [" ".join(rng.choices(vocabulary, k=40)) + "." for _ in range(150)]
+    toxic = [f"{x[:80]} {w} {x[80:]}" for x, w in zip(clean, ["idiot,", "MORON!!", "(losers)", "imbécile", "ESTÚPIDO"], strict=False)]
+    other = [f"{x} {w}" for x, w in zip(clean, ["idiotype", "scumble", "untrash", "bemoron"], strict=False)]
+    docs = [*clean, *other, *toxic, "You idiot."]
+    got = [r.keep for r in quality.quality(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert np.mean(got[:150]) > 0.97 and all(got[150:154]) and not any(got[154:])
+    # a sample without toxic documents
+    assert quality.fit([])[quality.NAMED - 1] < 0
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/7x", "https://b.example.com/en/1?x", "x://example.net/de/8", "x://net/de/", "x://m.org/es/#t", "no scheme", None, "", "x://evilcom/en/", "h://ads.tracker.com/click/banner", "h://en.encyclopedia.org/wiki/Glacier"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))

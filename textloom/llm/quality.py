@@ -1,13 +1,15 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers each vote good, bad or nothing on a document. How accurate each is, and how common good documents
-are, is estimated without labels by expectation-maximisation over the counts of vote patterns, which are taken over all
-documents and number 3^8 at most. Posterior labels of a bounded sample then train a linear scorer on hashed features
-of a text's shape, which judges every document, also those on which the labellers are silent.
+Heuristic labellers each vote good, bad or nothing on a document. How accurate those of shape are, and how common good
+documents are, is estimated without labels by expectation-maximisation over the counts of vote patterns, which are taken
+over all documents and number 2 * 3^8 at most. The labeller of words looks for insults; a document is bad if it says so,
+whatever its shape. Posterior labels of a bounded sample then train a linear scorer on hashed features of a text's shape
+and on its hashed words, which judges every document, also those on which the labellers are silent.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Words, blocks, documents
 
-#: Documents that the scorer is fitted to, about; hashed features; passes and step of the fit; rounds of EM.
-SAMPLE, FEATURES, PASSES, STEP, ROUNDS = 6000, 1 << 13, 200, 2.0, 100
+#: Documents that the scorer is fitted to, about; passes and step of the fit; rounds of EM.
+SAMPLE, PASSES, STEP, ROUNDS = 6000, 200, 2.0, 100
 #: A document is kept if its score reaches this.
 KEEP = 0.5
 BAD, SILENT, GOOD = 0, 1, 2
@@ -44,16 +46,38 @@ LABELLERS = (
     ("commonest", 0.35, 0.20),  # share of the commonest word
     ("endless", 0.98, 0.90),  # share of words that end no sentence
 )
+#: Words that insult, in lower case; each also with an s at its end. Other words than these are not known to be toxic.
+INSULTS = (
+    *("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "filth", "idiot", "idiotic", "imbecile"),
+    *("loser", "moron", "moronic", "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless"),
+    *("abruti", "connard", "connasse", "crétin", "débile", "dégoûtant", "imbécile", "minable", "ordure", "pathétique", "salaud", "salope", "stupide"),
+    *("abschaum", "arschloch", "dummkopf", "erbärmlich", "hurensohn", "idioten", "schwachkopf", "trottel", "versager", "wertlos", "widerlich"),
+    *("asqueroso", "asquerosa", "basura", "cabrón", "escoria", "estúpido", "estúpida", "gilipollas", "idiota", "imbécil", "patético", "patética", "payaso"),
+)
+_INSULT = re.compile(f"(?:{'|'.join(INSULTS)})s?(?![^\\W\\d_])")
+#: From this share of insults among the words a text is toxic.
+TOXIC = 0.006
+#: Hashed features: shares by labeller and of insults, shapes, words. Before the fit, weight of a share that is toxic.
+NAMED, SHAPES, WORDS, TOXIC_START = 64 * (len(LABELLERS) + 1), (1 << 13) - 512, 1 << 16, -10.0
+FEATURES = NAMED + SHAPES + WORDS
 #: Below so many words a text's shares say nothing; bytes that a text is short of, as far as its shapes count.
 FEW, SHORT = 20, 300
 
 
+def _insults(text: str) -> int:
+    text = text.lower()
+    return sum(not text[x.start() - 1 : x.start()].isalpha() for x in _INSULT.finditer(text))
+
+
 def _shares(words: Words, data: np.ndarray, row: int) -> dict[str, float] | None:
-    """The labellers' signals; {} for a text of few words, None for one without words."""
+    """The labellers' signals; that of insults alone for a text of few words, None for one without words."""
     at = words.of(row)
     n = at.stop - at.start
+    if not n:
+        return None
+    toxic = _insults(data[words.starts[at.start] : words.ends[at.stop - 1]].tobytes().decode()) / n
     if n < FEW:
-        return {} if n else None
+        return {"toxic": toxic}
     starts, ends, hashes = words.starts[at], words.ends[at], words.hashes[at]
     low, high = starts[0], ends[-1]
     kinds = _CLASS[data[low:high]]
@@ -74,6 +98,7 @@ def _shares(words: Words, data: np.ndarray, row: int) -> dict[str, float] | None
         "again": float((ordered[1:] == ordered[:-1]).mean()),
         "commonest": float(np.diff(cuts).max() / n),
         "endless": float(1 - np.isin(data[ends - 1], _ENDS).mean()),
+        "toxic": toxic,
     }
 
 
@@ -81,30 +106,31 @@ _ENDS = np.frombuffer(b".!?", np.uint8)
 
 
 def _pattern(shares: dict[str, float] | None) -> str:
-    """A vote a labeller: 0 bad, 1 nothing, 2 good."""
-    if not shares:
-        return str(SILENT) * len(LABELLERS)
+    """A vote a labeller: 0 bad, 1 nothing, 2 good; the last is that of insults, which finds nothing good."""
     votes = []
     for name, bad, good in LABELLERS:
-        x = shares[name]
-        votes.append(SILENT if good < x < bad else BAD if x >= bad else GOOD)
-    return "".join(map(str, votes))
+        x = (shares or {}).get(name)
+        votes.append(SILENT if x is None or good < x < bad else BAD if x >= bad else GOOD)
+    return "".join(map(str, [*votes, BAD if shares and shares["toxic"] >= TOXIC else SILENT]))
 
 
-def _features(shares: dict[str, float] | None, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features and their weights: shares in twentieths (but for sentence ends, which vary in short texts), and three-byte shapes by their share of the text."""
+def _features(shares: dict[str, float] | None, data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features and their weights: shares in twentieths (but for sentence ends, which vary in short texts), that of insults in thirds of TOXIC, and three-byte shapes and words by their share of the text."""
     if shares is None:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    named = [i * 64 + min(20, int(shares[name] * 20)) for i, (name, _, _) in enumerate(LABELLERS) if name != "endless" and shares]
+    named = [i * 64 + min(20, int(shares[name] * 20)) for i, (name, _, _) in enumerate(LABELLERS) if name != "endless" and name in shares]
+    named.append(len(LABELLERS) * 64 + (3 + min(20, int((shares["toxic"] / TOXIC - 1) * 3)) if shares["toxic"] >= TOXIC else int(shares["toxic"] / TOXIC * 3)))
     shape = _SHAPE[data]
     if len(shape) >= 3:
-        hashed = (shape[:-2] * 18397 + shape[1:-1] * 331 + shape[2:] * 7) % (FEATURES - 512)
-        counts = np.bincount(hashed, minlength=FEATURES - 512)
+        hashed = (shape[:-2] * 18397 + shape[1:-1] * 331 + shape[2:] * 7) % SHAPES
+        counts = np.bincount(hashed, minlength=SHAPES)
         at = np.flatnonzero(counts)
         weight = np.sqrt(counts[at] / (counts.sum() + SHORT))
     else:
         at, weight = np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate([np.array(named, np.int64), at + 512]), np.concatenate([np.ones(len(named), np.float32), weight.astype(np.float32)])
+    word, counts = np.unique((hashes % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+    weights = [np.ones(len(named)), weight, np.sqrt(counts / (len(hashes) + SHORT))]
+    return np.concatenate([np.array(named, np.int64), at + NAMED, word + NAMED + SHAPES]), np.concatenate(weights).astype(np.float32)
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +146,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for i in range(rows.num_rows):
             shares = _shares(words, data, i)
-            at, weight = _features(shares, data[offsets[i] : offsets[i + 1]])
+            at, weight = _features(shares, data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
             out.append((_pattern(shares), at.astype(np.int32).tobytes(), weight.tobytes()))
         votes, at, weight = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["votes", "at", "weight"])
@@ -129,13 +155,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     """Vote patterns and their counts -> the posterior of good for each, by expectation-maximisation.
 
-    A document is good or bad; given that, labellers vote independently, each with its own chances of either vote;
-    silence tells nothing. It starts at the share of good votes; an empty input gives an empty result.
+    A document's shape is good or bad; given that, labellers vote independently, each with its own chances of either
+    vote; silence tells nothing. It starts at the share of good votes. Then what the labeller of insults votes bad is
+    not good. An empty input gives an empty result.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
     votes = np.array([[int(c) for c in x] for x in keys])
+    votes, toxic = votes[:, :-1], votes[:, -1] == BAD
     n = np.array([patterns[x] for x in keys], np.float64)
     good, bad = (votes == GOOD).sum(axis=1), (votes == BAD).sum(axis=1)
     p = np.where(bad > 0, (good + 0.5) / (good + 8 * bad + 1), (good + 0.9) / (good + 1))
@@ -148,12 +176,13 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]
             chance = np.log(chance / chance.sum(axis=1, keepdims=True))
             total += np.where(votes[:, j] == SILENT, 0, chance[:, votes[:, j] // 2])
         p = 1 / (1 + np.exp(np.clip(total[0] - total[1], -500, 500)))
-    return dict(zip(keys, p.tolist(), strict=True))
+    return dict(zip(keys, np.where(toxic, 0, p).tolist(), strict=True))
 
 
 def fit(rows: list[tuple[bytes, bytes, float]]) -> np.ndarray:
     """Weights (bias last) of a logistic scorer, from (features, their weights, posterior) rows, by AdaGrad."""
     weights, grown = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-3)
+    weights[NAMED - 64 + 3 : NAMED] = TOXIC_START  # also if the sample has none
     if not rows:
         return weights
     at = [np.frombuffer(x, np.int32) for x, _, _ in rows]
@@ -177,7 +206,7 @@ def _scored(weights: np.ndarray, keep: float):
             words = Words(data, offsets, fold=True)
             scores = []
             for i in range(rows.num_rows):
-                at, weight = _features(_shares(words, data, i), data[offsets[i] : offsets[i + 1]])
+                at, weight = _features(_shares(words, data, i), data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
                 scores.append(1 / (1 + np.exp(-np.clip(weights[at] @ weight + weights[-1], -500, 500))) if len(at) else 0.0)
             others = [i for i, c in enumerate(rows.schema.names) if c != "text_"]
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in others), pa.array(scores, pa.float64()), pa.array([x >= keep for x in scores], pa.bool_())], [*(rows.schema.names[i] for i in others), "score", "keep"])
