@@ -151,6 +151,19 @@ def test_token_output(spark, rows, tmp_path):
     assert token_output.token_output(empty(df), f"file://{tmp_path}/b", *args).count() == 0
 
 
+def test_token_output_added_token(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizers_.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\nthe end ", "<|endoftext |> the", "plain words"]
+    got = token_output.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/a", tokenizers_.path("byte_bpe_50k.json"), tokenizers_.PATTERN, 2).collect()
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert 50256 in want[0]
+    got.sort(key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want
+    assert [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
+
+
 def test_pack():
     numbers = np.array([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 3, np.uint32)
     for n in range(len(numbers)):

@@ -11,6 +11,7 @@ gathers is one block's ids: both follow from the number of blocks, which grows w
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -58,16 +59,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenized(path: str, pattern: str, kind: str) -> WordTable:
-    """Words as their ids' bytes. New words are encoded many at a time, as the lines of one text; a line end between
-    words that are not white space is a word of its own and has an id of its own."""
+def _tokenized(path: str, pattern: str, kind: str) -> tuple[WordTable, re.Pattern | None, object]:
+    """Words as their ids' bytes, the strings of the tokenizer's added tokens, and the way to encode a whole text.
+
+    New words are encoded many at a time, as the lines of one text; a line end between words that are not white space
+    is a word of its own and has an id of its own. Texts that hold an added token's string are to be encoded whole."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values() if x.content]
     line = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(words: list[str]) -> Iterator[bytes]:
@@ -79,21 +82,25 @@ def _tokenized(path: str, pattern: str, kind: str) -> WordTable:
             cuts = [-1, *np.flatnonzero(ids == line[0]).tolist(), len(ids)]
             many.update((x, ids[a + 1 : b].tobytes()) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
         for x in words:
-            yield many[x] if x in many else np.array(tokenizer.encode(x, add_special_tokens=False).ids, kind).tobytes()
+            yield many[x] if x in many else whole(x)
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    return WordTable(pattern, encode, b"".join)
+    return WordTable(pattern, encode, b"".join), re.compile("|".join(added)) if added else None, whole
 
 
 def _encode(path: str, pattern: str, end: int, kind: str):
     """doc_id, n, ids (little-endian, with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(("tokenizer", path, pattern, kind), lambda: _tokenized(path, pattern, kind))
+        table, added, whole = table_of(("tokenizer", path, pattern, kind), lambda: _tokenized(path, pattern, kind))
         last = np.array([end], kind).tobytes()
         for rows, data, offsets in blocks(batches):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            ids = [b"".join(values) + last for values in table.lookup(texts)]
+            held = {i: whole(x) for i, x in enumerate(texts) if added.search(x)} if added else {}
+            ids = [held.get(i, b"".join(values)) + last for i, values in enumerate(table.lookup(["" if i in held else x for i, x in enumerate(texts)]))]
             n = pa.array([len(x) // len(last) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -204,8 +211,8 @@ def read_ids(spark, path: str) -> DataFrame:
 def token_output(df: DataFrame, path: str, tokenizer: str, pattern: str, end: int) -> DataFrame:
     """Encodes df's texts (null: empty), appends ``end`` to each, writes the ids under path and reads them back.
 
-    Rows with a null doc_id come first; rows that repeat a doc_id keep their number. Special tokens' strings in a
-    text are ordinary text. An empty table gives no blocks and an empty result. Other columns are ignored.
+    Rows with a null doc_id come first; rows that repeat a doc_id keep their number. The strings of the
+    tokenizer's added tokens become their ids, as in the library. An empty table gives no blocks and an empty result. Other columns are ignored.
     ``pattern`` must be the tokenizer's own way of splitting, ``tokenizer`` a file at one place on every executor.
     """
     spark = df.sparkSession
