@@ -238,6 +238,16 @@ def test_html(html, text):
     assert html_extract.extract(html) == text
 
 
+def test_html_siblings():
+    part = "<p>" + "Some words, and more of them, " * 6 + "{}.</p>"
+    one, two, three = (part.format(x) for x in "abc")
+    lines = [x[3:-4] for x in (one, two, three)]
+    assert html_extract.extract(f"<article>{one}{two}</article><article>{three}</article>").split("\n") == lines
+    assert html_extract.extract(f"<div><article>{one}{two}</article><section>{three * 4}</section></div>").split("\n") == [*lines[:2], *lines[2:] * 4]
+    got = html_extract.extract(f"<div><div>{one * 4}</div>Loose <b>text</b> here<div>{two * 4}</div></div>").split("\n")
+    assert got == [*lines[:1] * 4, "Loose text here", *lines[1:2] * 4]
+
+
 def test_quality(spark):
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]

@@ -3,7 +3,8 @@
 A tolerant parser builds a tree without what never is main text (navigation, page headers and footers, asides,
 forms, adverts, notices, comments of readers, scripts and styles). Each block of text gives points for its length and
 its commas to its ancestors, fewer with distance; a container's points are discounted by its share of linked text.
-The best container, or the article around it, is kept, and so are siblings with points enough of their own.
+The best container, or the article around it, is kept, and so are siblings with points enough of their own, and
+text between these that is not linked.
 """
 
 from __future__ import annotations
@@ -227,19 +228,28 @@ def extract(html: str | None) -> str:
         if node.tag == "main" and top.tag != "article":
             top = node
     kept = [top]
-    if top.tag not in ("article", "main") and top.parent is not None:
+    if top.parent is not None:
         least = max(10.0, SHARE * worth(top))
-        kept = []
+        kept, held, between = [], [], []
         for x in top.parent.children:
-            if x is top:
-                kept.append(x)
-            elif isinstance(x, Node) and x.tag in BLOCK:
+            if x is not top and not (isinstance(x, Node) and x.tag in BLOCK):
+                held.append(x)
+                continue
+            if held:
+                loose = Node("span", {}, None)
+                loose.children, held = held, []
+                own = _blocks(loose)
+                if sum(n for _, _, n in own) < sum(len(t) for _, t, _ in own) / 4:
+                    between.append(loose)
+            if x is not top:
                 length, linked = x.length, x.linked
                 if x.tag == "p" or x.tag in HEADINGS:
                     own = _blocks(x)
                     length, linked = sum(len(t) for _, t, _ in own), sum(n for _, _, n in own)
-                if worth(x) >= least and linked < length / 3 or x.tag in ("p", *HEADINGS) and length and linked < length / 4:
-                    kept.append(x)
+                if not (worth(x) >= least and linked < length / 3 or x.tag in ("p", *HEADINGS) and length and linked < length / 4):
+                    continue
+            kept += [*between, x] if kept else [x]
+            between = []
     return "\n".join(text for x in kept for _, text, _ in _blocks(x))
 
 
