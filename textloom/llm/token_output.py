@@ -11,7 +11,6 @@ gathers is one block's ids: both follow from the number of blocks, which grows w
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import SPACE_LED, WordTable, table_of
+from textloom.llm.chunks import ALNUM, LEAD, LINE, QUOTE, SIGN, SPACE_LED, ChunkTable, kinds, spread, table_of
 from textloom.llm.common import blocks, discard, documents, release, shared_dir, store
 
 #: Documents in a block, about.
 BLOCK_ROWS = 2048
+#: Chunks that are encoded as the lines of one text, and bytes of text whose chunks are looked up at once.
+LINES, BLOCK_BYTES = 500, 1 << 23
+#: Blocks whose prefix sums one task makes.
+SUMMED = 4096
 
 _SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 #: For each control byte, the lengths of its four ids.
@@ -59,60 +62,113 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenized(path: str, pattern: str, kind: str) -> tuple[WordTable, re.Pattern | None, object]:
-    """Words as their ids' bytes, the strings of the tokenizer's added tokens, and the way to encode a whole text.
+class _Library:
+    """The tokenizer's ids of new chunks.
 
-    New words are encoded many at a time, as the lines of one text; a line end between words that are not white space
-    is a word of its own and has an id of its own. Texts that hold an added token's string are to be encoded whole."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values() if x.content]
-    line = tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def encode(words: list[str]) -> Iterator[bytes]:
-        many = {} if len(line) != 1 or pattern != SPACE_LED else {x: b"" for x in words if not x.isspace() and "\n" not in x}
-        listed = list(many)
-        for at in range(0, len(listed), 5000):
-            part = listed[at : at + 5000]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, kind)
-            cuts = [-1, *np.flatnonzero(ids == line[0]).tolist(), len(ids)]
-            many.update((x, ids[a + 1 : b].tobytes()) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for x in words:
-            yield many[x] if x in many else whole(x)
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    Many chunks are encoded at once, as the lines of one text, where a line end has an id of its own; a chunk that
+    white space begins or ends (but for one space before it) or that holds a line end is encoded by itself.
+    """
 
-    return WordTable(pattern, encode, b"".join), re.compile("|".join(added)) if added else None, whole
+    def __init__(self, path: str, pattern: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # strings that the library looks for before it splits a text
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        line = self.ids("\n")
+        self.line = line[0] if len(line) == 1 and pattern == SPACE_LED and not any(b"\n" in x for x in self.added) else None
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token's string."""
+        out, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+        for x in self.added:
+            if x in raw:
+                out |= np.array([x in raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], bool)
+        return out
+
+    def _lines(self, chunks: list[bytes]) -> np.ndarray:
+        """Which chunks can be lines of a text."""
+        if self.line is None:
+            return np.zeros(len(chunks), bool)
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        ends = np.cumsum([len(x) for x in chunks])
+        starts = np.concatenate([[0], ends[:-1]])
+        kind = kinds(data)
+        begins, inked = np.isin(kind, (ALNUM, SIGN, QUOTE, LEAD)), np.isin(kind, (ALNUM, SIGN, QUOTE))
+        spaced = data[starts] == 0x20
+        out = np.where(spaced, begins[np.minimum(starts + 1, ends - 1)], begins[starts]) & inked[ends - 1]
+        for i in np.flatnonzero(~out).tolist():
+            text = chunks[i].decode()
+            out[i] = text.strip() == text.removeprefix(" ") and text != " "
+        if LINE in kind:
+            out[np.searchsorted(ends, np.flatnonzero(kind == LINE), "right")] = False
+        for x in self.added:
+            if x in data.tobytes():
+                out &= np.array([x not in y for y in chunks], bool)
+        return out
+
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lines = self._lines(chunks)
+        own: list[np.ndarray] = []
+        lengths = np.zeros(len(chunks), np.int64)
+        fit, others = np.flatnonzero(lines), np.flatnonzero(~lines)
+        parts = [fit[at : at + LINES] for at in range(0, len(fit), LINES)]
+        texts = [b"\n".join([chunks[i] for i in part.tolist()]).decode() for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids)
+            ends = np.flatnonzero(ids == self.line)
+            lengths[part] = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+            own.append(np.delete(ids, ends))
+        for i in others.tolist():
+            own.append(np.array(self.ids(chunks[i].decode()), np.int64))
+            lengths[i] = len(own[-1])
+        order = np.concatenate([fit, others])
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(own)[spread(starts, lengths)] if own else np.zeros(0, np.int64), lengths
 
 
 def _encode(path: str, pattern: str, end: int, kind: str):
     """doc_id, n, ids (little-endian, with the end id)."""
 
+    def made() -> tuple[ChunkTable, _Library]:
+        library = _Library(path, pattern)
+        return ChunkTable(pattern == SPACE_LED, library, kind), library
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, added, whole = table_of(("tokenizer", path, pattern, kind), lambda: _tokenized(path, pattern, kind))
-        last = np.array([end], kind).tobytes()
-        for rows, data, offsets in blocks(batches):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            held = {i: whole(x) for i, x in enumerate(texts) if added.search(x)} if added else {}
-            ids = [held.get(i, b"".join(values)) + last for i, values in enumerate(table.lookup(["" if i in held else x for i, x in enumerate(texts)]))]
-            n = pa.array([len(x) // len(last) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+        table, library = table_of(("tokenizer", path, pattern, kind), made)
+        width = np.dtype(kind).itemsize
+        for rows, data, offsets in blocks(batches, size=BLOCK_BYTES):
+            ids, n = table.of(data, offsets, library.whole(data, offsets))
+            ids = np.insert(ids, np.cumsum(n), end)
+            ends = np.concatenate([[0], np.cumsum(n + 1)])
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * width), pa.py_buffer(ids.astype(kind, copy=False))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n + 1), held], ["doc_id", "n", "ids"])
 
     return run
 
 
+def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes in a row, and their offsets."""
+    wide = column.cast(pa.large_binary())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1 + wide.offset)[wide.offset :]
+    data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _count(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for x in batches:
-            for at in range(0, x.num_rows, 512):
-                own = np.bincount(np.frombuffer(b"".join(x.column("ids")[at : at + 512].to_pylist()), kind))
+            ids = _held(x.column("ids"))[0].view(kind)
+            for at in range(0, len(ids), 1 << 20):
+                own = np.bincount(ids[at : at + (1 << 20)])
                 if len(own) > len(total):
                     total, own = own, total
                 total[: len(own)] += own
@@ -162,15 +218,23 @@ def write_ids(encoded: DataFrame, path: str, kind: str = "<u4") -> None:
     parts = min(1000, n)
     cuts = encoded.select(F.approx_percentile("doc_id", [i / parts for i in range(1, parts)], 20000).alias("cuts")).first().cuts if parts > 1 else []
     dealt = encoded.withColumn("block", _range_of(sorted(set(cuts or [])), n))
-    # one number a block
-    totals = dealt.groupBy("block").agg(F.sum("n").alias("n"))
-    first = totals.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    first = _firsts(dealt.groupBy("block").agg(F.sum("n").alias("n")))
     rows = dealt.select("block", F.lit(None).cast("long").alias("first"), "doc_id", "ids").unionByName(first, allowMissingColumns=True)
     rows = rows.repartition(max(1, min(n, 100000)), "block").sortWithinPartitions("block", F.asc_nulls_last("first"), "doc_id")
     made = rows.select("block", "first", "doc_id", "ids").mapInArrow(_blocks(order, kind), "block long, first long, doc_ids array<long>, lengths array<int>, control binary, data binary")
     made.write.parquet(f"{path}/blocks")
 
 
+def _firsts(totals: DataFrame) -> DataFrame:
+    """(block, n) -> (block, first): the sum of n over lower blocks. Blocks are summed up in groups of SUMMED, and then
+    the groups, of which there is one for some eight million documents."""
+    grouped = totals.withColumn("group", F.floor(F.col("block") / SUMMED))
+    lower = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("group").agg(F.sum("n").alias("n")).select("group", lower(Window.orderBy("group")).alias("before"))
+    within = grouped.select("block", "group", lower(Window.partitionBy("group").orderBy("block")).alias("within"))
+    return within.join(groups, "group").select("block", (F.col("before") + F.col("within")).alias("first"))
+
+
 def _range_of(cuts: list[int], n: int):
     """Block of a doc_id: which of the approximate quantiles it follows, and where it lies between two of them.
 
@@ -193,10 +257,9 @@ def _read(ids_by_rank: np.ndarray):
             for i in range(x.num_rows):
                 lengths = np.asarray(x.column("lengths")[i].values, np.int64)
                 ids = ids_by_rank[unpack(x.column("control")[i].as_py(), x.column("data")[i].as_py(), int(lengths.sum()))].astype("<u4")
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                own = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([x.column("doc_ids")[i].values, pa.array(starts + x.column("first")[i].as_py()), pa.array(lengths), pa.array(own, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                own = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([x.column("doc_ids")[i].values, pa.array(ends[:-1] + x.column("first")[i].as_py()), pa.array(lengths), own], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
@@ -212,7 +275,9 @@ def token_output(df: DataFrame, path: str, tokenizer: str, pattern: str, end: in
     """Encodes df's texts (null: empty), appends ``end`` to each, writes the ids under path and reads them back.
 
     Rows with a null doc_id come first; rows that repeat a doc_id keep their number. The strings of the
-    tokenizer's added tokens become their ids, as in the library. An empty table gives no blocks and an empty result. Other columns are ignored.
+    tokenizer's added tokens become their ids, as in the library; a text that holds one is encoded whole. A text of any
+    length is one row of one block, whose ids a task holds. An empty table gives no blocks and an empty result. Other
+    columns are ignored.
     ``pattern`` must be the tokenizer's own way of splitting, ``tokenizer`` a file at one place on every executor.
     """
     spark = df.sparkSession
