@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.chunks import spread
 from textloom.llm.common import Shingles, Words, blocks, discard, documents, mix, release, shingle_sets, store
 from textloom.llm.components import components
 
@@ -38,8 +39,9 @@ FREQUENT, AT_LEAST, COUNTED = 1 << 17, 16, 1 << 22
 EXTRA = 10
 #: Rounds of dropping sets, and shingles, that too few others share; each is a sound filter.
 ROUNDS = 2
-#: Sets that make a shingle's sets a family, and sets in a block of one, about.
-DENSE, CELL = 64, 256
+#: Sets that make a shingle's sets a family, and bytes of sets in a block of one, about: a set goes to as many tasks as
+#: its family has blocks.
+DENSE, CELL_BYTES = 64, 1 << 23
 #: Weight of the logarithm in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -189,17 +191,32 @@ def _only(k: int):
     return run
 
 
-def search(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Which of the sets link with the query, and their overlap, by T-occurrence over its shingles' lists."""
+class Lists:
+    """The inverted lists of a block of sets: by shingle, the numbers of the sets that have it, in ascending order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.values, self.owners = values[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def of(self, query: np.ndarray, wanted: np.ndarray | None = None) -> list[list[int]]:
+        """The lists of the query's shingles, of ``wanted`` sets only (by number, true or false)."""
+        low = np.searchsorted(self.values, query, "left")
+        n = np.searchsorted(self.values, query, "right") - low
+        owners, which = self.owners[spread(low, n)], np.repeat(np.arange(len(query)), n)
+        if wanted is not None:
+            owners, which = owners[wanted[owners]], which[wanted[owners]]
+        ends = np.flatnonzero(np.diff(which)) + 1
+        held = owners.tolist()
+        return [held[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(held)], strict=True)] if held else []
+
+
+def search(query: np.ndarray, lists: Lists, percent: int, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Which sets of the block link with the query, and their overlap, by T-occurrence over its shingles' lists."""
     n = len(query)
-    shared = [np.searchsorted(query, np.intersect1d(query, x, assume_unique=True)) for x in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in shared])
-    shingle = np.concatenate(shared)
-    order = np.argsort(shingle, kind="stable")
-    cuts = np.flatnonzero(np.diff(shingle[order])) + 1
-    lists = [x.tolist() for x in np.split(owner[order], cuts)] if len(order) else []
-    least = -(-percent * n // 100)
-    return [(x, count) for x, count in divide_skip(lists, least).items() if count >= required(n, len(sets[x]), percent)]
+    found = divide_skip(lists.of(query, wanted), -(-percent * n // 100))
+    return [(x, count) for x, count in found.items() if count >= required(n, int(lists.sizes[x]), percent)]
 
 
 def _searched(k: int, percent: int):
@@ -215,7 +232,7 @@ def _searched(k: int, percent: int):
                 size = len(list(group))
                 text = others[at].as_py().encode()
                 own = shingle_sets(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), fold=True), k)[0]
-                out += [(keys[at + x], centre, count) for x, count in search(own, sets[at : at + size], percent)]
+                out += [(keys[at + x], centre, count) for x, count in search(own, Lists(sets[at : at + size]), percent)]
                 at += size
             yield _as_links(out)
 
@@ -257,7 +274,7 @@ def _in_cell(percent: int):
             return np.minimum(folded[size], own).sum(axis=1)
 
         smallest = min((len(x) for x in sketches if x is not None), default=0)
-        out = []
+        lists, out = Lists([sets[x] for x in right]), []
         for x in left:
             other = right[right > x] if i == j else right
             place = np.flatnonzero(right > x) if i == j else np.arange(len(right))
@@ -267,11 +284,12 @@ def _in_cell(percent: int):
                 for size in {smallest, len(sketches[x])}:
                     fits &= at_most(sketches[x], size)[place] >= need
             mine = root(roots[x])
-            some = [int(y) for y in other[fits] if root(roots[y]) != mine]
-            for y, count in search(sets[x], [sets[y] for y in some], percent) if some else ():
-                if (a := root(roots[x])) != (b := root(roots[some[y]])):
+            wanted = np.zeros(len(right), bool)
+            wanted[[int(y) for y in place[fits] if root(roots[right[y]]) != mine]] = True
+            for y, count in search(sets[x], lists, percent, wanted) if wanted.any() else ():
+                if (a := root(roots[x])) != (b := root(roots[right[y]])):
                     joined[max(a, b)] = min(a, b)
-                    out.append((keys[x], keys[some[y]], count))
+                    out.append((keys[x], keys[right[y]], count))
         return pa.Table.from_batches([_as_links(out)])
 
     return run
@@ -309,9 +327,10 @@ def _as_sets(k: int):
 
 def _within_families(texts: DataFrame, classes: DataFrame, left: DataFrame, many: DataFrame, k: int, percent: int) -> DataFrame:
     """Links within families: for each centre the sets that have one of its shingles. A family's blocks of about
-    CELL sets are searched against each other, a cell of two blocks at a time."""
+    CELL_BYTES are searched against each other, a cell of two blocks at a time."""
     family = store(left.join(many, "h").select("centre", "key", "root").distinct())
-    sizes = family.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("n_blocks"))
+    sized = family.join(classes.select("key", "n"), "key")
+    sizes = sized.groupBy("centre").agg(F.ceil(F.sum(8 * F.col("n") + 64) / CELL_BYTES).cast("int").alias("n_blocks"))
     members = store(family.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")))
     wanted = texts.join(members.select("key").distinct(), "key")
     sets = store(wanted.mapInArrow(_as_sets(k), "key long, shingles binary").join(classes.select("key", "sketch"), "key"))
