@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.chunks import SPACE_LED, ChunkTable, spread, table_of
 from textloom.llm.common import blocks, documents
 
-#: The byte-level pattern of the public vocabularies: a space goes with what follows it. (A fixed value.)
-SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks of text whose ids a worker remembers, twice.
-REMEMBERED = 3 << 17
+#: Bytes of text whose chunks are looked up at once.
+BLOCK_BYTES = 1 << 23
 #: Buckets of the literal rank map, each a small map that is searched in order.
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
@@ -87,91 +86,54 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class WordTable:
-    """Texts -> for each, the encodings of its chunks in order. ``encode`` gives a value for each of some new words,
-    ``join`` the value of several words' values.
+class _Ranked:
+    """Ids of new chunks: a chunk's words are folded one by one. One of ASCII letters alone, perhaps after a space, is
+    one word, without the pattern's help."""
 
-    Where every match of the pattern that holds a space begins with it (SPACE_LED), a text falls into chunks at its
-    spaces, and a chunk's words are encoded once; other texts and patterns are encoded whole. What was encoded is
-    remembered, in two generations of bounded size, by the worker process: also for its next tasks.
-    """
-
-    def __init__(self, pattern: str, encode, join):
+    def __init__(self, path: str, pattern: str):
         import regex
 
-        self.split, self.encode, self.join, self.led = regex.compile(pattern).findall, encode, join, pattern == SPACE_LED
-        self.chunks: dict[str, object] = {}
-        self.older: dict[str, object] = {}
-
-    def _learn(self, texts: list[str]) -> list:
-        listed = [self.split(x) for x in texts]
-        new = list({x for words in listed for x in words})
-        values = dict(zip(new, self.encode(new), strict=True))
-        return [values[words[0]] if len(words) == 1 else self.join([values[x] for x in words]) for words in listed]
-
-    def _learn_chunks(self, chunks: list[str]) -> dict[str, object]:
-        """Values of chunks with the space before them. One of ASCII letters alone is one word, without the pattern's help."""
-        single = {x: f" {x}" for x in chunks if x.isascii() and x.isalpha()}
-        listed = {x: self.split(f" {x}") for x in chunks if x not in single}
-        new = list({*single.values(), *(w for words in listed.values() for w in words)})
-        values = dict(zip(new, self.encode(new), strict=True))
-        known = {x: values[w] for x, w in single.items()}
-        known.update((x, values[words[0]] if len(words) == 1 else self.join([values[w] for w in words])) for x, words in listed.items())
-        return known
-
-    def lookup(self, texts: list[str]) -> Iterator[list]:
-        """For each text a list of values."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks, self.older = {}, self.chunks
-        whole = [not self.led or "  " in x or x[-1:] == " " for x in texts]
-        parts = [[x] if all_ else x.split(" ") for x, all_ in zip(texts, whole, strict=True)]
-        firsts = self._learn([own.pop(0) for own in parts])
-        missing = set().union(*parts).difference(self.chunks)
-        known = {x: v for x in missing if (v := self.older.get(x)) is not None}
-        self.chunks.update(known)
-        self.chunks.update(self._learn_chunks(list(missing.difference(known))))
-        get = self.chunks.__getitem__
-        for first, own in zip(firsts, parts, strict=True):
-            yield [first, *map(get, own)]
-
-
-#: The worker process's tables, by what they encode with.
-_TABLES: dict[tuple, WordTable] = {}
-
-
-def table_of(key: tuple, make) -> WordTable:
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = make()
-    return _TABLES[key]
-
-
-def _ranked(path: str, pattern: str) -> WordTable:
-    """Words as (ids as 32-bit integers, the bytes that their pieces make)."""
-    ranks = read_ranks(path)
-    pieces = {v: k for k, v in ranks.items()}
-
-    def encode(words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for word in words:
-            ids = fold(word.encode(), ranks)
-            yield array("i", ids).tobytes(), b"".join([pieces[x] for x in ids])
-
-    return WordTable(pattern, encode, lambda values: (b"".join([x for x, _ in values]), b"".join([x for _, x in values])))
+        self.ranks, self.split, self.led = read_ranks(path), regex.compile(pattern).findall, pattern == SPACE_LED
+        pieces = sorted((v, k) for k, v in self.ranks.items())
+        # pieces by id, one after the other
+        n = pieces[-1][0] + 1 if pieces else 0
+        self.lengths = np.zeros(n, np.int64)
+        self.lengths[[v for v, _ in pieces]] = [len(k) for _, k in pieces]
+        self.starts, self.pieces = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join([k for _, k in pieces]), np.uint8)
+
+    def __call__(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths, folded = array("i"), [], {}
+        for x in chunks:
+            single = self.led and (y := x.removeprefix(b" ")).isalpha() and y.isascii()
+            before = len(ids)
+            for word in (x,) if single else map(str.encode, self.split(x.decode())):
+                own = folded.get(word)
+                if own is None:
+                    own = folded[word] = fold(word, self.ranks)
+                ids.extend(own)
+            lengths.append(len(ids) - before)
+        return np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.array(lengths, np.int64)
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids' pieces in a row, and how many each text has."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.pieces[spread(self.starts[ids], lengths)], np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
 
 
 def _bpe(path: str, pattern: str):
+    def made() -> tuple[ChunkTable, _Ranked]:
+        ranked = _Ranked(path, pattern)
+        return ChunkTable(pattern == SPACE_LED, ranked, "i4"), ranked
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(("ranks", path, pattern), lambda: _ranked(path, pattern))
-        for rows, data, offsets in blocks(batches):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            ids, decoded = [], []
-            for values in table.lookup(texts):
-                ids.append(b"".join([x for x, _ in values]))
-                decoded.append(b"".join([x for _, x in values]))
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), listed, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+        table, ranked = table_of(("ranks", path, pattern), made)
+        for rows, data, offsets in blocks(batches, size=BLOCK_BYTES):
+            ids, n = table.of(data, offsets)
+            text, size = ranked.decode(ids, n)
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+            decoded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), listed, decoded], ["doc_id", "ids", "decoded"])
 
     return run
 
