@@ -1,10 +1,12 @@
 """HTML extraction by tree scoring.
 
-A tolerant parser builds a tree without what never is main text (navigation, page headers and footers, asides,
-forms, adverts, notices, comments of readers, scripts and styles). Each block of text gives points for its length and
-its commas to its ancestors, fewer with distance; a container's points are discounted by its share of linked text.
-The best container, or the article around it, is kept, and so are siblings with points enough of their own, and
-text between these that is not linked.
+A tolerant parser builds the page's tree in one pass. Elements that by name or role never are main text (navigation,
+page headers and footers, asides, forms, scripts and styles) are left out. Each block of text passes points for its
+length and its commas to its container, and half as many to each ancestor further up; in an element whose class or id
+tells of noise (adverts, notices, comments of readers) as many negative ones, and none to what is around it. A
+container's points are discounted by its share of linked text. The best container, or the article around it, is kept, and so are siblings,
+its own and those of its ancestors, with points enough of their own, and text between these that is not linked.
+Everything is linear in the length of the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -24,74 +26,99 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose points go to the element around them, and blocks of text that need no points of their own.
+LEAVES = frozenset(("p", "pre", "li", "blockquote", *HEADINGS))
+TEXTUAL = frozenset(("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure", *HEADINGS))
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea iframe svg canvas object embed head title menu dialog audio video map datalist".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that tell what an element holds.
+#: Words of class and id that tell what an element holds: by the last word that is not of FORMS, or by any word of LEADS.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager login search skip hidden copyright toolbar taboola outbrain paywall".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsors promo promotion sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist disqus reply replies respond discussion pagination pager login search skip hidden copyright toolbar taboola outbrain paywall".split()
 )
-CONTENT = frozenset("article content entry post story main body text".split())
+LEADS = frozenset("related recommended recommendations sponsored promoted".split())
+CONTENT = frozenset("article content entry post story main".split())
+FORMS = frozenset("area bar block body bottom box button buttons col column container form group head holder icon icons inner item items left link links list middle outer panel region right row section slot text title top unit wrap wrapper zone".split())
 QUALIFIERS = frozenset("with has no without".split())
-#: What an opening tag ends, up to the nearest element of the second set.
-_SCOPE = frozenset("table td th caption button object html body".split())
-_CLOSES = {"li": ("li", frozenset("ul ol menu dir".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset("table tbody thead tfoot".split())), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"])), "option": ("option", frozenset(["select"]))}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
+#: What an opening tag ends, up to the nearest element of the second list.
+_SCOPE = tuple("table td th caption button object html body".split())
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-#: Points of a block beside those for commas and length; of a container named as content; a sibling's least share.
-BASE, NAMED, SHARE = 1.0, 25.0, 0.2
+#: Points of a block beside those for commas and length; of a container named as content.
+BASE, NAMED = 1.0, 5.0
+#: A sibling's least points, and its least share of the best container's: beside it, and further up.
+LEAST, SHARE, FAR_SHARE = 10.0, 0.2, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "names", "core", "out", "noise", "inside", "points", "length", "linked", "peak")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.points, self.length, self.linked = 0.0, 0, 0
-
-    def within(self, *tags: str) -> bool:
-        node = self
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        self.names = _named(attrs) if tag in BLOCK else 0
+        #: whether it holds a page's heading or article; whether it is left out; within noise; within an article or main
+        self.core = self.out = self.noise = self.inside = False
+        self.points, self.length, self.linked, self.peak = 0.0, 0, 0, 0.0
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(source)} if source.strip(" /\t\n") else {}
 
 
-def _noise(node: Node) -> bool:
-    """Whether the element and all it holds is left out."""
-    tag, attrs = node.tag, node.attrs
-    if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool({"comment", "comments", "reply"} & _names(attrs))
-    inside = node.within("article", "main")
-    if tag == "header" and not inside or attrs.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = _names(attrs)
-    return bool(names & NOISE) or not inside and "header" in names
+def _named(attrs: dict[str, str]) -> int:
+    """How many names of class and id tell of content, less those that tell of noise."""
+    out = 0
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [x.lower() for x in _NAME.findall(name)]
+        words = [x for i, x in enumerate(words) if not i or words[i - 1] not in QUALIFIERS]
+        telling = [x for x in words if x not in FORMS and not x.isdigit()] or words
+        if not LEADS.isdisjoint(words) or telling and telling[-1] in NOISE:
+            out -= 1
+        elif telling and telling[-1] in CONTENT:
+            out += 1
+    return out
+
+
+class _Open:
+    """The open elements while a page is read: their stack, and by tag where in it they are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {"html": [0]}, [0]
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
 
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
 
-def _names(attrs: dict[str, str]) -> set[str]:
-    if "class" not in attrs and "id" not in attrs:
-        return set()
-    words = [x.lower() for x in _NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
-    return {x for i, x in enumerate(words) if not i or words[i - 1] not in QUALIFIERS}
+    def cut(self, at: int) -> None:
+        """Ends the element at a place, which is not the root's, and all in it."""
+        while len(self.stack) > max(1, at):
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
 
+    def close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        at = self.nearest(tags)
+        if at > self.nearest(scope):
+            self.cut(at)
 
-def parse(html: str) -> Node:
-    """The tree of what is not left out; children are nodes and strings with references decoded."""
-    root = now = Node("html", {}, None)
-    at, size, skipped = 0, len(html), None
+
+def parse(html: str) -> list[Node]:
+    """The page's elements in order, the root first; children are nodes and strings with references decoded."""
+    root = Node("html", {}, None)
+    nodes, held = [root], _Open(root)
+    at, size = 0, len(html)
     while at < size:
         found = _TOKEN.search(html, at)
         text = html[at : found.start() if found else size]
-        if text and skipped is None:
-            now.children.append(unescape(text))
+        if text:
+            held.stack[-1].children.append(unescape(text))
         if not found:
             break
         at = found.end()
@@ -100,63 +127,59 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            node = now
-            while node is not None and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = None  # an inline end tag ends nothing beyond its block
-                else:
-                    node = node.parent
-            if node is not None and node.parent is not None:
-                now = node.parent
-                if skipped is not None and skipped not in _chain(now):
-                    skipped = None
+            place = held.nearest((tag,))
+            # an inline end tag ends nothing beyond its block
+            if place > 0 and (tag in BLOCK or place > held.blocks[-1]):
+                held.cut(place)
             continue
-        if tag == "html" and now.parent is None:
+        if tag == "html" and len(held.stack) == 1:
             continue
         if tag in BLOCK:
-            now = _close(now, ("p",), _SCOPE)
+            held.close(("p",), _SCOPE)
         if tag in _CLOSES:
-            names, scope = _CLOSES[tag]
-            now = _close(now, tuple(names.split()), scope)
-        if skipped is not None and skipped not in _chain(now):
-            skipped = None
-        node = Node(tag, _attributes(rest), now)
-        if skipped is None:
-            now.children.append(node)
+            held.close(*_CLOSES[tag])
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
             at = size if not stop else (html.find(">", stop.end()) + 1 or size)
-            if skipped is None:
-                now.children.pop()
-        elif tag not in VOID and not rest.endswith("/"):
-            now = node
-            if skipped is None and _noise(node):
-                skipped = node
-                node.parent.children.pop()
-        elif skipped is None and tag not in ("br", "hr", "wbr"):
-            now.children.pop()
-    return root
-
-
-def _chain(node: Node | None) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out
+        elif tag in VOID or rest.endswith("/"):
+            if tag in ("br", "hr", "wbr"):
+                held.stack[-1].children.append(Node(tag, {}, held.stack[-1]))
+        else:
+            node = Node(tag, _attributes(rest), held.stack[-1])
+            node.parent.children.append(node)
+            nodes.append(node)
+            held.push(node)
+    return nodes
+
+
+def _left_out(node: Node) -> bool:
+    """Whether an element is left out by its name, its role, or because it is hidden."""
+    tag, attrs = node.tag, node.attrs
+    if tag in DROPPED:
+        return tag != "form" or not node.core
+    if not attrs:
+        return tag == "header" and not node.inside
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return True
+    return tag == "header" and not node.inside or attrs.get("role", "").lower() in DROPPED_ROLES and not node.core
 
 
-def _close(now: Node, tags: tuple[str, ...], scope: frozenset[str]) -> Node:
-    node = now
-    while node is not None and node.tag not in scope:
-        if node.tag in tags and node.parent is not None:
-            return node.parent
-        node = node.parent
-    return now
+def _judge(nodes: list[Node], names: bool) -> None:
+    """Marks what is left out and what is noise; an element that holds the page's heading or article is no noise."""
+    for node in reversed(nodes):
+        node.core |= node.tag in ("h1", "main") or node.tag == "article" and node.names >= 0
+        if node.core and node.parent is not None:
+            node.parent.core = True
+    for node in nodes:
+        up = node.parent
+        node.inside = up is not None and (up.inside or up.tag in ("article", "main"))
+        node.out = up is not None and up.out or _left_out(node)
+        node.noise = names and (up is not None and up.noise or node.names < 0 and not (node.core and node.tag != "article"))
 
 
 def _blocks(node: Node) -> list[tuple[Node, str, int]]:
-    """The blocks of text under a node in page order: the block element, its text, and how much of it is linked."""
+    """The blocks of text under a node in page order, but for what is left out: the block element, its text, and how
+    much of it is linked."""
     out: list[tuple[Node, str, int]] = []
     held: list[str] = []
     linked = 0
@@ -188,68 +211,95 @@ def _blocks(node: Node) -> list[tuple[Node, str, int]]:
             held.append(" " if child.tag == "br" else "")
         elif child.tag == "hr":
             flush(owner)
-        elif child.children or child.tag in BLOCK:
+        elif not child.out and (child.children or child.tag in BLOCK):
             stack.append((child, 0, child if child.tag in BLOCK else owner, link or child.tag == "a"))
     flush(node)
     return out
 
 
+def _worth(node: Node) -> float:
+    named = NAMED * max(-1, min(1, node.names + (node.tag in ("article", "main")))) if node.tag != "body" else 0.0
+    return (node.points + named) * (1 - node.linked / max(1, node.length)) if node.length else 0.0
+
+
+def _score(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> Node | None:
+    """Passes the blocks' points up; the best container, if any is worth anything."""
+    for node in nodes:
+        node.points, node.length, node.linked = 0.0, 0, 0
+    for owner, text, linked in blocks:
+        points = (0.0 if owner.tag in HEADINGS else BASE) + text.count(",") + min(len(text) / 100, 3.0)
+        if owner.tag == "li":
+            points /= 2
+        node = owner.parent if owner.tag in LEAVES and owner.parent is not None else owner
+        node.points += -points if owner.noise else points
+        owner.length += len(text)
+        owner.linked += linked
+    best, most = None, 0.0
+    for node in reversed(nodes):
+        up = node.parent
+        if up is not None and node.noise == up.noise:
+            up.points += node.points / 2
+            up.length += node.length
+            up.linked += node.linked
+        worth = 0.0 if node.noise or node.out else _worth(node)
+        node.peak = max(worth, max((x.peak for x in node.children if isinstance(x, Node)), default=0.0))
+        # of equals the first one in the page
+        if worth > 0 and worth >= most and node.tag not in LEAVES:
+            best, most = node, worth
+    return best
+
+
+def _beside(top: Node, share: float, best: float) -> tuple[list[Node], list[Node]]:
+    """What is kept of a container's siblings, before and after it, with text between that is not linked."""
+    sides: tuple[list[Node], list[Node]] = ([], [])
+    side, held, between = 0, [], []
+    for x in top.parent.children:
+        if x is not top and not (isinstance(x, Node) and x.tag in BLOCK):
+            held.append(x)
+            continue
+        if held:
+            loose = Node("span", {}, None)
+            loose.children, held = held, []
+            own = _blocks(loose)
+            if sum(n for _, _, n in own) < sum(len(t) for _, t, _ in own) / 4:
+                between.append(loose)
+        if x is top:
+            # text before the first part that is kept is no part of it
+            sides[0].extend(between if sides[0] else [])
+            side, between = 1, []
+        elif not x.out and not x.noise and (x.peak >= max(LEAST, share * best) and x.linked < x.length / 3 or share == SHARE and x.length and x.linked < x.length / 4 and (x.tag in TEXTUAL or x.tag == top.tag != "div")):
+            sides[side].extend([*between, x] if side or sides[0] else [x])
+            between = []
+    return sides
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: its blocks joined by one newline; empty if there is none."""
     if not html:
         return ""
-    root = parse(html)
-    blocks = _blocks(root)
-    if not blocks:
+    nodes = parse(html)
+    _judge(nodes, True)
+    blocks = _blocks(nodes[0])
+    best = _score(nodes, blocks)
+    if best is None and any(x.noise for x in nodes):
+        # names may mislead: what they call noise is taken if it has the points of an article
+        _judge(nodes, False)
+        best = _score(nodes, blocks)
+        best = best if best is not None and best.peak >= LEAST else None
+    if best is None:
         return ""
-    scored: dict[int, Node] = {}
-    for owner, text, linked in blocks:
-        points = (0.0 if owner.tag in HEADINGS else BASE) + text.count(",") + min(len(text) / 100, 3.0)
-        if owner.tag == "li":
-            points /= 2
-        node, level = owner if owner.parent is None or owner.tag not in ("p", "pre", "li", "blockquote", *HEADINGS) else owner.parent, 0
-        while node is not None:
-            node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            node.length += len(text)
-            node.linked += linked
-            scored[id(node)] = node
-            node, level = node.parent, level + 1
-
-    def worth(node: Node) -> float:
-        named = NAMED if node.tag in ("article", "main") else NAMED / 5 if _names(node.attrs) & CONTENT and node.tag != "body" else 0.0
-        return (node.points + named) * (1 - node.linked / max(1, node.length))
-
-    best = max(scored.values(), key=worth)
-    top = best
-    for node in _chain(best):
-        if node.tag == "article":
+    most, top, node = _worth(best), best, best
+    while node is not None and top.tag != "article":
+        if node.tag == "article" or node.tag == "main" and top.tag != "main":
             top = node
-            break
-        if node.tag == "main" and top.tag != "article":
-            top = node
-    kept = [top]
-    if top.parent is not None:
-        least = max(10.0, SHARE * worth(top))
-        kept, held, between = [], [], []
-        for x in top.parent.children:
-            if x is not top and not (isinstance(x, Node) and x.tag in BLOCK):
-                held.append(x)
-                continue
-            if held:
-                loose = Node("span", {}, None)
-                loose.children, held = held, []
-                own = _blocks(loose)
-                if sum(n for _, _, n in own) < sum(len(t) for _, t, _ in own) / 4:
-                    between.append(loose)
-            if x is not top:
-                length, linked = x.length, x.linked
-                if x.tag == "p" or x.tag in HEADINGS:
-                    own = _blocks(x)
-                    length, linked = sum(len(t) for _, t, _ in own), sum(n for _, _, n in own)
-                if not (worth(x) >= least and linked < length / 3 or x.tag in ("p", *HEADINGS) and length and linked < length / 4):
-                    continue
-            kept += [*between, x] if kept else [x]
-            between = []
+        node = node.parent
+    kept, node, share = [top], top, SHARE
+    while node.parent is not None:
+        before, after = _beside(node, share, most)
+        kept = [*before, *kept, *after]
+        node, share = node.parent, FAR_SHARE
+    for x in nodes:
+        x.out = x.out or x.noise
     return "\n".join(text for x in kept for _, text, _ in _blocks(x))
 
 
@@ -263,8 +313,8 @@ def html_extract(df: DataFrame) -> DataFrame:
     """Per row of df (page_id, url, html): page_id, url, text, n_chars.
 
     Null, empty and blank html, and pages without main text: an empty text. Markup that is cut off or badly nested is
-    read as far as it goes. Rows that repeat are returned as often; other columns are ignored; an empty table gives
-    an empty result.
+    read as far as it goes; a page of any length or depth is read whole, in time linear in it. A null page_id or url
+    is carried; rows that repeat are returned as often; other columns are ignored; an empty table gives an empty result.
     """
     rows = df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
