@@ -57,7 +57,7 @@ def _bigrams(rows: DataFrame) -> DataFrame:
 
 def _text(rows: DataFrame) -> DataFrame:
     spaced = rows.withColumn("item", F.concat("spaces", "item"))
-    return spaced.groupBy("doc_id").agg(F.trim(F.array_join(_ordered(spaced), "")).alias("text"))
+    return spaced.groupBy("doc_id").agg(A.trimmed(F.array_join(_ordered(spaced), "")).alias("text"))
 
 
 #: Reducers: rows (doc_id, idx, item) -> a DataFrame.
@@ -123,7 +123,7 @@ class Document:
             F.max("idx").alias("last"),
             F.max("negated").alias("negated"),
             F.coalesce(F.sum(signed) / F.nullif(F.count(score), F.lit(0)), F.lit(0.0)).alias("sentiment"),
-            F.trim(F.array_join(ordered["s"], "")).alias("value"),
+            A.trimmed(F.array_join(ordered["s"], "")).alias("value"),
         )
         return Collection(spans)
 

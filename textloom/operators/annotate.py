@@ -1,11 +1,15 @@
 """Annotators: documents -> tokens -> sentences, negation, sentiment, parts of speech, entities.
 
-Each step is a DataFrame in and a DataFrame out. Windows are over one document or sentence, and all steps share the
-partitioning by doc_id, so that a chain of them needs one exchange.
+``annotated`` and what builds on it work inside each document's row: its tokens become one string with signs between,
+sentences and the reach of negations are found by splitting that string, and only then are tokens exploded, so that
+nothing is shuffled to put them in order. ``sentences`` and ``negation`` do the same over a table of tokens that is
+at hand, by windows over one document or sentence.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -59,9 +63,69 @@ def negation(sentenced: DataFrame) -> DataFrame:
     return sentenced.withColumn("negated", (F.coalesce(last, F.lit(0)) == 1) & mark.isNull() & F.col("value").rlike(r"[\p{L}\p{N}]"))
 
 
+#: Signs between tokens, before a token's value, and before one that a negation reaches: no characters of any text.
+SEP, OWN, REACHED = "\ufdd0", "\ufdd1", "\ufdd2"
+_ENDED = f"(?<=[{OWN}{REACHED}][.!?]{SEP})|(?<=[\n\r\t]{SEP})"
+_TURNS = rf"(?<={SEP})(?=\d*+{OWN}(?i:{'|'.join(map(re.escape, L.TERMINATORS))}){SEP})|{_ENDED}"
+_CUED = f"(?<={OWN}(?i:{'|'.join(map(re.escape, L.CUES))}){SEP})"
+
+
+def _string(text: Column, numbered: bool) -> Column:
+    """A text's tokens as one string: each its number, if wanted, OWN, its value and SEP."""
+    own = T.tokens(F.translate(text, SEP + OWN + REACHED, "   "))
+    if numbered:
+        named = F.concat(F.array_join(F.transform(own, lambda t, i: F.concat(i.cast("string"), F.lit(OWN), t)), SEP), F.lit(SEP))
+    else:
+        named = F.concat(F.lit(OWN), F.array_join(own, SEP + OWN), F.lit(SEP))
+    return F.when(F.size(own) > 0, named).otherwise("")
+
+
+def _reached(string: Column) -> Column:
+    """The string with REACHED for OWN after each cue, up to the next terminator or the end of the sentence."""
+    parts = F.transform(F.split(string, _TURNS), lambda x: F.split(x, _CUED, 2))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.coalesce(F.translate(F.get(p, F.lit(1)), OWN, REACHED), F.lit("")))), "")
+
+
+def _pieces(string: Column) -> Column:
+    """The sentences of a string, each with its tokens' signs."""
+    return F.array_remove(F.split(string, _ENDED), "")
+
+
+def n_sentences(text: Column) -> Column:
+    return F.size(_pieces(_string(text, False))).cast("long")
+
+
+def annotated(df: DataFrame, *carry: str, text: str = "text", key: str = "doc_id", numbered: bool = True, negated: bool = True) -> DataFrame:
+    """(doc_id, carried columns, sent_idx, idx, value, negated), a row a token, without a shuffle; idx if numbered.
+
+    Sentences and negation are those of ``sentences`` and ``negation``. The noncharacters U+FDD0 to U+FDD2 count as
+    spaces. A null or blank text has no rows; a doc_id may repeat.
+    """
+    string = _string(F.col(text), numbered)
+    pieces = df.select(F.col(key).alias("doc_id"), *carry, F.posexplode(_pieces(_reached(string) if negated else string)).alias("sent_idx", "piece"))
+    rows = pieces.select("doc_id", *carry, F.col("sent_idx").cast("long").alias("sent_idx"), F.explode(F.array_remove(F.split("piece", SEP), "")).alias("t"))
+    plain = F.translate("t", REACHED, OWN) if negated else F.col("t")
+    value = F.split_part(plain, F.lit(OWN), F.lit(2)).alias("value")
+    idx = [F.split_part(plain, F.lit(OWN), F.lit(1)).cast("int").alias("idx")] if numbered else []
+    if not negated:
+        return rows.select("doc_id", *carry, "sent_idx", *idx, value)
+    rows = rows.select("doc_id", *carry, "sent_idx", *idx, value, F.contains("t", F.lit(REACHED)).alias("reached"))
+    return rows.withColumn("negated", F.col("reached") & ~F.lower("value").isin(*L.CUES) & F.col("value").rlike(r"[\p{L}\p{N}]")).drop("reached")
+
+
+def sentence_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, sent_idx, first, last, text): each sentence's tokens, joined by a space, and where they lie."""
+    rows = df.select(F.col(key).alias("doc_id"), F.posexplode(_pieces(_string(F.col(text), True))).alias("sent_idx", "piece"))
+    first = F.split_part("piece", F.lit(OWN), F.lit(1)).cast("long")
+    words = F.regexp_replace("piece", rf"\d*+{OWN}", "")
+    shown = F.translate(F.substring(words, 1, F.length(words) - 1), SEP, " ")
+    return rows.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), first.alias("first"), (first + F.regexp_count("piece", F.lit(SEP)) - 1).alias("last"), shown.alias("text"))
+
+
 def score_of(token: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in L.SENTIMENT.items() for x in kv])
-    return F.try_element_at(table, F.lower(token)).cast("double") / 1000
+    low = F.lower(token)
+    return F.when(low.isin(*L.SENTIMENT), F.try_element_at(table, low)).cast("double") / 1000
 
 
 def sentence_sentiment(negated: DataFrame) -> DataFrame:
@@ -75,14 +139,20 @@ def document_sentiment(negated: DataFrame) -> DataFrame:
     return sentence_sentiment(negated).groupBy("doc_id").agg((F.sum("sentiment") / F.count(F.lit(1))).alias("sentiment"))
 
 
+#: A letter for each part of speech.
+TAGS = {tag: chr(65 + i) for i, tag in enumerate(sorted({*L.POS, *L.TYPE_POS.values(), *L.OPEN_CLASSES}))}
+
+
 def pos_of(token: Column) -> Column:
     """Default tag: closed-class words by list, signs by type, capitalised words as names, others by suffix."""
     low = F.lower(token)
-    guess = F.when(token.rlike("^[A-Z]"), "PROPN").when(low.rlike("ly$"), "ADV").when(low.rlike("(?:ing|ed)$"), "VERB").when(low.rlike("(?:able|ous|ful|ive)$"), "ADJ").otherwise("NOUN")
+    guess = F.when(token.rlike("^[A-Z]"), "PROPN").when(low.endswith("ly"), "ADV").when(low.endswith("ing") | low.endswith("ed"), "VERB").when(low.rlike("(?:able|ous|ful|ive)$"), "ADJ").otherwise("NOUN")
     kind = T.type_of(token)
-    out = guess
+    signs = guess
     for name, tag in L.TYPE_POS.items():
-        out = F.when(kind == name, tag).otherwise(out)
+        signs = F.when(kind == name, tag).otherwise(signs)
+    # letters alone are a word
+    out = F.when(token.rlike(r"^\p{L}+$"), guess).when(token.isin(*".,!?-()'\""), L.TYPE_POS["punctuation"]).otherwise(signs)
     for tag, known in reversed(L.POS.items()):
         out = F.when(low.isin(*known), tag).otherwise(out)
     return out
@@ -104,6 +174,16 @@ def contextual_pos(sentenced: DataFrame) -> DataFrame:
     return rows
 
 
+def tag_string(text: Column, contextual: bool = False) -> Column:
+    """The tags of a text's tokens as letters of TAGS, with a line end after each sentence; contextual_pos's if wanted."""
+    table = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
+    ends = lambda t: t.isin(".", "!", "?") | t.rlike(r"^[\n\r\t]+$")
+    out = F.array_join(F.transform(T.tokens(text), lambda t: F.concat(F.element_at(table, pos_of(t)), F.when(ends(t), "\n").otherwise(""))), "")
+    for tag, to, before, after in L.POS_RULES if contextual else ():
+        out = F.regexp_replace(out, (f"(?<={TAGS[before]})" if before else "") + TAGS[tag] + (f"(?={TAGS[after]})" if after else ""), TAGS[to])
+    return out
+
+
 def hint_of(token: Column) -> Column:
     """One letter for what a token may be in an entity."""
     low = F.lower(token)
@@ -150,22 +230,31 @@ def entities(tokens: DataFrame) -> DataFrame:
 
 
 def syllables_of(word: Column) -> Column:
-    groups = F.regexp_count(F.regexp_replace(F.lower(word), L.SILENT_END, ""), F.lit("[aeiouy]+"))
-    return F.when(F.length(word) < 3, 1).otherwise(F.greatest(groups, F.lit(1)))
+    """Syllables: by list, else groups of vowels without a silent end, more or fewer by patterns, but at least one."""
+    low = F.lower(word)
+    bare = F.regexp_replace(low, L.SILENT_END, "")
+    count = F.regexp_count(bare, F.lit("[aeiouy]+"))
+    for pattern in L.MORE_SYLLABLES:
+        count += bare.rlike(pattern).cast("int")
+    for pattern in L.FEWER_SYLLABLES:
+        count -= bare.rlike(pattern).cast("int")
+    table = F.create_map(*[F.lit(x) for kv in L.SYLLABLES.items() for x in kv])
+    return F.when(F.length(low) < 3, 1).when(low.isin(*L.SYLLABLES), F.element_at(table, low)).otherwise(F.greatest(count, F.lit(1)))
 
 
 def readability(df: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_sentences, n_syllables, n_complex, fres): Flesch's ease, of documents with a word."""
-    rows = sentences(tokenize(df))
-    word = F.col("value").rlike(r"^[\p{L}]")
+    counted = df.select("doc_id", n_sentences(F.col("text")).alias("n_sentences"), T.tokens(F.col("text")).alias("values"))
+    rows = counted.select("doc_id", "n_sentences", F.explode("values").alias("value"))
+    rows = rows.filter(F.col("value").rlike(r"^[\p{L}]")).withColumn("syllables", syllables_of(F.col("value")))
     out = rows.groupBy("doc_id").agg(
-        F.sum(word.cast("long")).alias("n_words"),
-        (F.max("sent_idx") + 1).cast("long").alias("n_sentences"),
-        F.sum(F.when(word, syllables_of(F.col("value"))).otherwise(0)).cast("long").alias("n_syllables"),
-        F.sum((word & (syllables_of(F.col("value")) > 3)).cast("long")).alias("n_complex"),
+        F.count(F.lit(1)).alias("n_words"),
+        F.max("n_sentences").alias("n_sentences"),
+        F.sum("syllables").cast("long").alias("n_syllables"),
+        F.count_if(F.col("syllables") > 3).alias("n_complex"),
     )
     ease = F.lit(206.835) - F.lit(1.015) * (F.col("n_words") / F.col("n_sentences")) - F.lit(84.6) * (F.col("n_syllables") / F.col("n_words"))
-    return out.filter("n_words > 0").withColumn("fres", F.floor(ease.cast("double") + 0.5).cast("long"))
+    return out.withColumn("fres", F.floor(ease.cast("double") + 0.5).cast("long"))
 
 
 def reading_time(stats: DataFrame) -> DataFrame:
@@ -185,14 +274,17 @@ def sentence_importance(df: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, importance): by how often a sentence's runs of four tags occur in its document.
 
     Spaces and punctuation are left out; a run weighs its count less its closed-class tags; weights of at most 0
-    count nothing; the greatest sum of a document is 1. Sentences of fewer than four tags are left out.
+    count nothing; the greatest sum of a document is 1. Sentences of fewer than four tags are left out. One letter a
+    token is dealt out by doc_id; all that follows stays where it is.
     """
-    tagged = sentences(tokenize(df)).withColumn("pos", pos_of(F.col("value"))).filter(~F.col("pos").isin("SPACE", "PUNCT"))
-    tags = [F.col("pos"), *(F.lead("pos", i).over(by_sentence()) for i in (1, 2, 3))]
-    runs = tagged.select("doc_id", "sent_idx", *(t.alias(f"t{i}") for i, t in enumerate(tags))).filter("t3 is not null")
-    closed = sum((~F.col(f"t{i}").isin(*L.OPEN_CLASSES)).cast("int") for i in range(4))
-    own = Window.partitionBy("doc_id", "t0", "t1", "t2", "t3")
-    weighed = runs.withColumn("w", F.greatest(F.count(F.lit(1)).over(own) - closed, F.lit(0)))
+    letters = F.translate(tag_string(F.col("text")), TAGS["SPACE"] + TAGS["PUNCT"], "")
+    dealt = df.select("doc_id", letters.alias("tags")).repartition("doc_id")
+    rows = dealt.select("doc_id", F.posexplode(F.split("tags", "\n")).alias("sent_idx", "tags")).filter(F.length("tags") > 3)
+    runs = rows.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "tags", F.explode(F.sequence(F.lit(1), F.length("tags") - 3)).alias("at"))
+    runs = runs.select("doc_id", "sent_idx", F.substr("tags", F.col("at"), F.lit(4)).alias("run"))
+    counts = runs.groupBy("doc_id", "run", "sent_idx").agg(F.count(F.lit(1)).alias("n"))
+    closed = F.length(F.regexp_replace("run", f"[{''.join(TAGS[x] for x in L.OPEN_CLASSES)}]", ""))
+    weighed = counts.withColumn("w", F.col("n") * F.greatest(F.sum("n").over(Window.partitionBy("doc_id", "run")) - closed, F.lit(0)))
     sums = weighed.groupBy("doc_id", "sent_idx").agg(F.sum("w").alias("w"))
     most = F.max("w").over(Window.partitionBy("doc_id"))
     return sums.select("doc_id", "sent_idx", F.round(F.col("w") / F.when(most == 0, 1).otherwise(most), 4).alias("importance"))
@@ -206,7 +298,45 @@ def marked_up(df: DataFrame, begin: str = "<mark>", end: str = "</mark>") -> Dat
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), " ").alias("marked"))
 
 
+# white space beyond the space, as it is trimmed
+BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+OUTER = f"^{BLANK}+|{BLANK}+$"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at its ends; ``$`` is the very end."""
+    return F.regexp_replace(text, OUTER.replace("$", r"\z"), "")
+
+
 def detokenize(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, text) from tokens and the spaces before them: the text without outer spaces."""
+    """(doc_id, text) from tokens and the spaces before them: the text without outer white space. Null: null."""
     spaced = F.regexp_extract_all(F.col(text), F.lit(rf"([\s\x{{A0}}\x{{2002}}-\x{{2005}}\x{{2009}}\x{{200A}}\x{{202F}}\x{{205F}}]*?)({T.PATTERN})"), F.lit(0))
-    return df.select(F.col(key).alias("doc_id"), F.regexp_replace(F.array_join(spaced, ""), "^[ ]+|[ ]+$", "").alias("text"))
+    return df.select(F.col(key).alias("doc_id"), trimmed(F.array_join(spaced, "")).alias("text"))
+
+
+def lemmas(tokens: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(value, pos, lemma) of the distinct (value, pos) of tokens, by tables that a user brings: lexicon (word, pos) of
+    known words, exceptions (word, pos, lemma).
+
+    An exception's lemma comes first; else the candidates of the part of speech are tried in order, and the first
+    that the lexicon has with that tag is taken; other words are their own lemma, but nouns in -men end in -man.
+    Values are compared in lower case. Each table is joined by word and tag, however large it is.
+    """
+    rows = tokens.select(F.lower("value").alias("value"), "pos").distinct()
+    if exceptions is not None:
+        rows = rows.join(exceptions.select(F.col("word").alias("value"), "pos", F.col("lemma").alias("_known")).dropDuplicates(["value", "pos"]), ["value", "pos"], "left")
+    else:
+        rows = rows.withColumn("_known", F.lit(None).cast("string"))
+
+    def ways(rules) -> Column:
+        tried = [F.when(F.col("value").rlike(f"(?:{end})$"), F.concat(F.regexp_replace("value", f"(?:{end})$", ""), F.lit(come))) for end, come in rules]
+        return F.filter(F.array(*tried), lambda x: x.isNotNull())
+
+    candidates = F.lit(None).cast("array<string>")
+    for pos, rules in L.ENDINGS.items():
+        candidates = F.when(F.col("pos") == pos, ways(rules)).otherwise(candidates)
+    tried = rows.select("value", "pos", "_known", F.posexplode_outer(candidates).alias("rank", "way"))
+    words = lexicon.select(F.col("word").alias("way"), "pos", F.lit(True).alias("_has")).dropDuplicates(["way", "pos"])
+    found = tried.join(words, ["way", "pos"], "left").groupBy("value", "pos").agg(F.first("_known").alias("_known"), F.min_by("way", F.when(F.col("_has"), F.col("rank"))).alias("way"), F.max("_has").alias("_has"))
+    rest = F.when(F.col("pos") == "NOUN", F.regexp_replace("value", "men$", "man")).otherwise(F.col("value"))
+    return found.select("value", "pos", F.coalesce("_known", F.when(F.col("_has"), F.col("way")), rest).alias("lemma"))

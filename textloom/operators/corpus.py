@@ -14,21 +14,26 @@ def bag(terms: DataFrame, key: str = "doc_id") -> DataFrame:
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_idf(counts: DataFrame, n_docs: int, k: float = 1.0, precision: int = 6) -> DataFrame:
-    """(term, idf) from (doc_id, term, tf)."""
-    n = F.count(F.lit(1))
-    return counts.groupBy("term").agg(F.round(F.log((F.lit(float(n_docs)) - n + 0.5) / (n + 0.5) + F.lit(float(k))), precision).alias("idf"))
+def lengths(counts: DataFrame) -> DataFrame:
+    """(doc_id, dl): tokens of each document of (doc_id, term, tf)."""
+    return counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+
+
+def bm25_idf(counts: DataFrame, n_docs: int | None = None, k: float = 1.0, precision: int = 6) -> DataFrame:
+    """(term, idf) from (doc_id, term, tf), of ``n_docs`` documents or else of those that have a term."""
+    size = F.lit(float(n_docs)) if n_docs is not None else lengths(counts).agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    rows = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("term", F.round(F.log((size - F.col("n") + 0.5) / (F.col("n") + 0.5) + F.lit(float(k))), precision).alias("idf"))
 
 
 def bm25_weights(counts: DataFrame, k: float = 1.0, k1: float = 1.2, b: float = 0.75, norm: str = "none", precision: int = 6) -> DataFrame:
     """(doc_id, term, w). Raises for a norm other than none, l1 and l2; an empty bag gives an empty result."""
     if norm not in ("none", "l1", "l2"):
         raise ValueError(f"norm {norm}")
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    shape = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
-    idf = bm25_idf(counts, shape.n, k, precision)
-    rows = counts.join(idf, "term").join(lengths, "doc_id")
-    bound = F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / F.lit(float(shape.mean or 1.0))) + F.col("tf")
+    # the mean length is one value, found in the same job
+    mean = F.coalesce(F.nullif(lengths(counts).agg(F.avg("dl").alias("mean")).scalar(), F.lit(0.0)), F.lit(1.0))
+    rows = counts.join(bm25_idf(counts, None, k, precision), "term").join(lengths(counts), "doc_id")
+    bound = F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / mean) + F.col("tf")
     rows = rows.withColumn("w", F.col("idf") * F.lit(k1 + 1.0) * F.col("tf") / bound)
     own = Window.partitionBy("doc_id")
     size = {"none": F.lit(1.0), "l1": F.sum(F.abs("w")).over(own), "l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))}[norm]
@@ -136,6 +141,21 @@ def vector_cosine(a: Column, b: Column, precision: int = 6) -> Column:
 
 
 def mean_vector(df: DataFrame, key: str, vector: str, precision: int = 6) -> DataFrame:
-    """(key, mean): the mean of each component."""
-    parts = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.round(F.avg(F.col("x").cast("double")), precision).alias("x"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("mean"))
+    """(key, mean): the mean of each component; vectors are summed where they lie, and one a key and task is dealt out."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.filter(F.col(vector).isNotNull()).groupBy(key).agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("mean"))
+    return rows.select(key, F.transform(vector_to_array("mean"), lambda x: F.round(x, precision)).alias("mean"))
+
+
+def nearest_mean(df: DataFrame, key: str, label: str, vector: str, most: int = 10_000, precision: int = 4) -> DataFrame:
+    """(key, near, similarity): of each vector the label whose mean vector has the greatest cosine, the least of equals.
+
+    The means are one value that goes to all tasks; more than ``most`` labels are an error when the rows are read.
+    """
+    means = mean_vector(df, label, vector).agg(F.collect_list(F.struct(F.col(label).alias("label"), "mean")).alias("means")).scalar()
+    held = F.when(F.size(means) <= most, means).otherwise(F.raise_error(F.lit(f"more than {most} labels")).cast("array<struct<label:int,mean:array<double>>>"))
+    rows = df.select(key, vector, held.alias("_means"))
+    best = F.array_min(F.transform("_means", lambda m: F.struct((-vector_cosine(F.col(vector), m["mean"], precision)).alias("d"), m["label"].alias("near"))))
+    return rows.select(key, best.alias("x")).select(key, "x.near", (-F.col("x.d")).alias("similarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as L
+from textloom.functions import stem as STEM
 from textloom.functions import text as T
 from textloom.operators import annotate as A
 from textloom.operators import corpus as C
@@ -52,7 +53,9 @@ POS = case(
 )
 LEMMA = case([(f"lower(value) = '{w}'", f"'{v}'") for w, v in L.IRREGULAR.items()] + [(f"regexp_matches(lower(value), '{p}')", f"left(lower(value), length(value) - {g}) || '{c}'") for p, g, c in L.LEMMA_RULES], "lower(value)")
 ENTITY = case([(f"type = '{k}'", f"'{v}'") for k, v in L.ENTITY_NAMES.items()], "upper(type)")
-SYLLABLES = "CASE WHEN length(value) < 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower(value), 'e$', ''), '[aeiouy]+'))) END"
+_BARE = "regexp_replace(lower(value), 'e$', '')"
+_GROUPS = "".join(f" {sign} regexp_matches({_BARE}, '{p}')::INT" for sign, own in (("+", L.MORE_SYLLABLES), ("-", L.FEWER_SYLLABLES)) for p in own)
+SYLLABLES = f"CASE WHEN length(value) < 3 THEN 1 WHEN lower(value) IN ({listed(L.SYLLABLES)}) THEN MAP {{{', '.join(f"'{k}': {v}" for k, v in L.SYLLABLES.items())}}}[lower(value)] ELSE greatest(1, len(regexp_extract_all({_BARE}, '[aeiouy]+')){_GROUPS}) END"
 BM25 = """tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL), dl AS (SELECT doc_id, sum(tf)::DOUBLE AS dl FROM tf GROUP BY ALL),
 shape AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM dl), idf AS (SELECT term, round(ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM tf, shape GROUP BY term, n),
 raw AS (SELECT doc_id, term, idf * 2.2::DOUBLE * tf / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean) + tf) AS w FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), shape)"""
@@ -80,6 +83,15 @@ def count_of(name: str = "n"):
     return F.count(F.lit(1)).alias(name)
 
 
+def by_value(spark: SparkSession, d: str) -> DataFrame:
+    """(value, n): what depends on a token alone is told once for each distinct one."""
+    return toks(spark, d).groupBy("value").agg(count_of())
+
+
+def in_sentences(spark: SparkSession, d: str, **options) -> DataFrame:
+    return A.annotated(docs(spark, d), **options)
+
+
 @query(f"WITH {tok(more=', lang')} SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM tok GROUP BY lang")
 def token_count_by_lang(spark, d):
     return toks(spark, d, "lang").groupBy("lang").agg(F.count_distinct("doc_id").alias("n_docs"), count_of("n_tokens"))
@@ -120,18 +132,17 @@ def bigram_freq(spark, d):
 
 @query(f"WITH {tok()} SELECT {TYPE} AS type, count(*) AS n FROM tok GROUP BY ALL")
 def token_type_counts(spark, d):
-    return A.typed(toks(spark, d)).groupBy("type").agg(count_of())
+    return by_value(spark, d).groupBy(T.type_of(F.col("value")).alias("type")).agg(F.sum("n").alias("n"))
 
 
 @query(f'WITH {tok()} SELECT {CASE_} AS "case", count(*) AS n FROM tok GROUP BY ALL')
 def token_case_counts(spark, d):
-    return toks(spark, d).groupBy(T.case_of(F.col("value")).alias("case")).agg(count_of())
+    return by_value(spark, d).groupBy(T.case_of(F.col("value")).alias("case")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {tok()} SELECT {SHAPE} AS shape, count(*) AS n FROM tok GROUP BY ALL")
 def token_shape_freq(spark, d):
-    counts = toks(spark, d).groupBy("value").agg(count_of())
-    return counts.groupBy(T.shape_of(F.col("value")).alias("shape")).agg(F.sum("n").alias("n"))
+    return by_value(spark, d).groupBy(T.shape_of(F.col("value")).alias("shape")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {tok()} SELECT left(value, 2) AS prefix, count(*) AS n FROM tok GROUP BY ALL")
@@ -146,7 +157,7 @@ def suffix_freq(spark, d):
 
 @query(f"WITH {tok()} SELECT {NORMAL} AS normal, count(*) AS freq FROM tok GROUP BY ALL")
 def normal_freq(spark, d):
-    return toks(spark, d).groupBy(T.normal_of(F.col("value")).alias("normal")).agg(count_of("freq"))
+    return by_value(spark, d).groupBy(T.normal_of(F.col("value")).alias("normal")).agg(F.sum("n").alias("freq"))
 
 
 @query(f"WITH {tok()}, {WORDS} SELECT doc_id, count(*) FILTER (term IN ({listed(L.STOP_WORDS)})) AS n_stop, count(*) AS n_words, round(count(*) FILTER (term IN ({listed(L.STOP_WORDS)}))::DOUBLE / count(*), 6) AS ratio FROM words GROUP BY ALL")
@@ -160,17 +171,22 @@ def abbrev_tokens(spark, d):
     return toks(spark, d).filter(T.is_abbreviation(F.col("value"))).groupBy(F.col("value").alias("term")).agg(count_of())
 
 
-@query(f"WITH {tok('conversations', 'conv_id', 'text', ', turn')} SELECT lower(value) AS part, {NORMAL} AS normal, count(*) AS n FROM tok WHERE lower(value) IN ({listed(L.NORMALS)}) GROUP BY ALL")
+#: Texts with short forms, which the tables lack.
+SHORT = ((1, "I can't go, they won't and it isn't what we'd say."), (2, "You'll see I'm late; she's DON'T-ing."), (3, "We've been; they're here, he'd gone. N't"), (4, "no short forms"), (5, None))
+
+
+@query(f"WITH short(doc_id, text) AS (VALUES {', '.join(f"({i}, {'NULL' if t is None else f"'{q(t)}'"})" for i, t in SHORT)}), {tok('short')} SELECT lower(value) AS part, {NORMAL} AS normal, count(*) AS n FROM tok WHERE lower(value) IN ({listed(L.NORMALS)}) GROUP BY ALL")
 def contraction_expand(spark, d):
-    rows = A.tokenize(read(spark, d, "conversations"), "text", "conv_id", "turn")
+    rows = A.tokenize(spark.createDataFrame(SHORT, "doc_id long, text string"))
     return rows.filter(F.lower("value").isin(*L.NORMALS)).groupBy(F.lower("value").alias("part"), T.normal_of(F.col("value")).alias("normal")).agg(count_of())
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '^[ ]+|[ ]+$', '', 'g')) AS text_len, true AS same FROM documents")
+_OUTER = A.OUTER.replace("$", r"\z")
+
+
+@query(f"SELECT doc_id, length(regexp_replace(text, '{_OUTER}', '', 'g')) AS text_len, md5(regexp_replace(text, '{_OUTER}', '', 'g')) AS digest FROM documents")
 def detokenize_check(spark, d):
-    back = A.detokenize(docs(spark, d)).withColumnRenamed("text", "back")
-    trimmed = F.regexp_replace("text", "^[ ]+|[ ]+$", "")
-    return docs(spark, d).select("doc_id", trimmed.alias("t")).join(back, "doc_id").select("doc_id", F.length("t").cast("long").alias("text_len"), (F.col("t") == F.col("back")).alias("same"))
+    return A.detokenize(docs(spark, d)).select("doc_id", F.length("text").cast("long").alias("text_len"), F.md5("text").alias("digest"))
 
 
 KNOWN = sorted({*L.STOP_WORDS, *L.SENTIMENT, *(w for own in L.POS.values() for w in own)})
@@ -190,34 +206,32 @@ def in_vocab_terms(spark, d):
 
 @query(f"WITH {tok()}, {SENT} SELECT doc_id, max(sent_idx) + 1 AS n_sentences FROM sent GROUP BY ALL")
 def sentence_count(spark, d):
-    return A.sentences(toks(spark, d)).groupBy("doc_id").agg((F.max("sent_idx") + 1).cast("long").alias("n_sentences"))
+    return docs(spark, d).select("doc_id", A.n_sentences(F.col("text")).alias("n_sentences")).filter("n_sentences > 0")
 
 
 @query(f"WITH {tok()}, {SENT} SELECT doc_id, sent_idx, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, string_agg(value, ' ' ORDER BY idx) AS text FROM sent GROUP BY ALL")
 def sentence_text(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    rows = A.sentences(toks(spark, d)).groupBy("doc_id", "sent_idx").agg(F.min("idx").cast("long").alias("first"), F.max("idx").cast("long").alias("last"), F.array_join(F.transform(ordered, lambda x: x["value"]), " ").alias("text"))
-    return rows
+    return A.sentence_spans(docs(spark, d))
 
 
 @query(f"WITH {tok()}, {SENT}, {NEG} SELECT doc_id, idx::BIGINT AS idx, lower(value) AS term FROM neg WHERE negated")
 def negated_tokens(spark, d):
-    return A.negation(A.sentences(toks(spark, d))).filter("negated").select("doc_id", F.col("idx").cast("long").alias("idx"), F.lower("value").alias("term"))
+    return in_sentences(spark, d).filter("negated").select("doc_id", F.col("idx").cast("long").alias("idx"), F.lower("value").alias("term"))
 
 
 @query(f"WITH {tok()}, {SENT}, {NEG} SELECT doc_id, count(*) FILTER (negated) AS n_negated FROM neg GROUP BY ALL")
 def negated_docs(spark, d):
-    return A.negation(A.sentences(toks(spark, d))).groupBy("doc_id").agg(F.count_if("negated").alias("n_negated"))
+    return in_sentences(spark, d, numbered=False).groupBy("doc_id").agg(F.count_if("negated").alias("n_negated"))
 
 
 @query(f"WITH {tok()}, {SENT}, {NEG}, {SENTIMENT} SELECT doc_id, sent_idx, round(sentiment, 6) AS score FROM sentiment")
 def sentence_sentiment(spark, d):
-    return A.sentence_sentiment(A.negation(A.sentences(toks(spark, d)))).select("doc_id", "sent_idx", F.round("sentiment", 6).alias("score"))
+    return A.sentence_sentiment(in_sentences(spark, d, numbered=False)).select("doc_id", "sent_idx", F.round("sentiment", 6).alias("score"))
 
 
 @query(f"WITH {tok()}, {SENT}, {NEG}, {SENTIMENT} SELECT doc_id, round(sum(sentiment) / count(*) + 1e-9::DOUBLE, 5) AS score FROM sentiment GROUP BY ALL")
 def doc_sentiment(spark, d):
-    return A.document_sentiment(A.negation(A.sentences(toks(spark, d)))).select("doc_id", F.round(F.col("sentiment") + F.lit(1e-9), 5).alias("score"))
+    return A.document_sentiment(in_sentences(spark, d, numbered=False)).select("doc_id", F.round(F.col("sentiment") + F.lit(1e-9), 5).alias("score"))
 
 
 ENT = f"ent AS (SELECT doc_id, idx, value, {ENTITY} AS entity FROM (SELECT *, {TYPE} AS type FROM tok) WHERE type IN ({listed(L.ENTITIES)}))"
@@ -236,8 +250,7 @@ def entity_type_freq(spark, d):
 @query(f"WITH {tok()}, {SENT}, ent AS (SELECT * FROM (SELECT *, {TYPE} AS type FROM sent) WHERE type IN ({listed(L.ENTITIES)})) SELECT doc_id, idx::BIGINT AS idx, sent_idx FROM ent")
 def parent_sentence(spark, d):
     """The sentence that spans each entity, by an interval join within documents."""
-    own = A.sentences(toks(spark, d))
-    spans = own.groupBy("doc_id", "sent_idx").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    spans = A.sentence_spans(docs(spark, d))
     found = A.entities(toks(spark, d))
     inside = (F.col("doc_id") == F.col("own")) & F.col("idx").between(F.col("first"), F.col("last"))
     return found.join(spans.withColumnRenamed("doc_id", "own"), inside).select("doc_id", F.col("idx").cast("long").alias("idx"), "sent_idx")
@@ -245,7 +258,7 @@ def parent_sentence(spark, d):
 
 @query(f"WITH {tok()}, {SENT}, ent AS (SELECT *, {TYPE} AS type FROM sent) SELECT doc_id, sent_idx, count(*) FILTER (type IN ({listed(L.ENTITIES)})) AS n_entities FROM ent GROUP BY ALL")
 def sentence_entities(spark, d):
-    return A.typed(A.sentences(toks(spark, d))).groupBy("doc_id", "sent_idx").agg(F.count_if(F.col("type").isin(*L.ENTITIES)).alias("n_entities"))
+    return A.typed(in_sentences(spark, d, numbered=False, negated=False)).groupBy("doc_id", "sent_idx").agg(F.count_if(F.col("type").isin(*L.ENTITIES)).alias("n_entities"))
 
 
 @query(f"WITH {tok()}, m AS (SELECT *, {TYPE} AS type FROM tok) SELECT doc_id, string_agg(CASE WHEN type IN ({listed(L.ENTITIES)}) THEN '<mark>' || value || '</mark>' ELSE value END, ' ' ORDER BY idx) AS marked FROM m GROUP BY doc_id")
@@ -262,8 +275,7 @@ def readability(spark, d):
 
 @query(f"WITH {tok()} SELECT {POS} AS pos, count(*) AS n FROM tok GROUP BY ALL")
 def pos_default_tags(spark, d):
-    counts = toks(spark, d).groupBy("value").agg(count_of())
-    return counts.groupBy(A.pos_of(F.col("value")).alias("pos")).agg(F.sum("n").alias("n"))
+    return by_value(spark, d).groupBy(A.pos_of(F.col("value")).alias("pos")).agg(F.sum("n").alias("n"))
 
 
 _OPEN = listed(L.OPEN_CLASSES)
@@ -286,8 +298,7 @@ def lemma_freq(spark, d):
 
 @query(f"WITH {tok()}, {WORDS}, {BM25} SELECT term, idf FROM idf")
 def bm25_idf(spark, d):
-    counts = C.bag(A.words(toks(spark, d)))
-    return C.bm25_idf(counts, counts.select("doc_id").distinct().count())
+    return C.bm25_idf(C.bag(A.words(toks(spark, d))))
 
 
 def _bm25(norm: str, size: str):
@@ -358,12 +369,8 @@ def mean_vector_by_label(spark, d):
 @query(f"""WITH {MEAN}, s AS (SELECT vec_id, mean.label AS near, round(list_dot_product(embedding::DOUBLE[], mean) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(mean, mean))), 4) AS similarity FROM embeddings, mean)
 SELECT vec_id, near, similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, near) AS rk FROM s) WHERE rk = 1""")
 def vector_cosine_nearest(spark, d):
-    """Each vector's nearest label by the cosine with the label's mean; labels are few and are one row."""
-    rows = read(spark, d, "embeddings")
-    means = C.mean_vector(rows, "label", "embedding").agg(F.collect_list(F.struct("label", "mean")).alias("means")).first().means
-    table = spark.createDataFrame([([(x.label, x.mean) for x in means],)], "means array<struct<label:int,mean:array<double>>>")
-    scored = rows.join(F.broadcast(table)).select("vec_id", F.explode("means").alias("m"), "embedding").select("vec_id", F.col("m.label").alias("near"), C.vector_cosine(F.col("embedding"), F.col("m.mean"), 4).alias("similarity"))
-    return scored.groupBy("vec_id").agg(F.max_by(F.struct("near", "similarity"), F.struct("similarity", -F.col("near"))).alias("x")).select("vec_id", "x.near", "x.similarity")
+    """Each vector's nearest label by the cosine with the label's mean."""
+    return C.nearest_mean(read(spark, d, "embeddings"), "vec_id", "label", "embedding")
 
 
 @query(f"WITH {tok('conversations', 'conv_id', 'text', ', role')}, {WORDS} SELECT role, term, count(*) AS n FROM words GROUP BY ALL")
@@ -377,21 +384,77 @@ def pages_text_terms(spark, d):
     return A.words(A.tokenize(bare, "text", "page_id")).groupBy("term").agg(count_of())
 
 
-@query()
-def custom_entities(spark, d):
-    """Patterns over parts of speech, leftmost and longest, without overlaps."""
-    tags = F.transform(T.tokens(F.col("text")), A.pos_of)
-    return P.match(docs(spark, d).select("doc_id", tags.alias("symbols")), [("noun phrase", "[DET] [|ADJ] [NOUN]"), ("name", "[PROPN] [PROPN]"), ("action", "[AUX] [|ADV] [VERB]")])
+#: Patterns over parts of speech.
+TAG_PATTERNS = [("noun phrase", "[DET] [|ADJ] [NOUN]"), ("name", "[PROPN] [PROPN]"), ("action", "[AUX] [|ADV] [VERB]")]
+_WAYS = sorted(((way, name) for name, pattern in TAG_PATTERNS for way in P.compose(pattern)), key=lambda x: -len(x[0]))
+TYPED = f"typed AS MATERIALIZED (SELECT *, {TYPE} AS type FROM tok)"
+_POS_OF_TYPED = POS.replace(f"({TYPE})", "type")
+TAGGED = f"{TYPED}, tagged AS MATERIALIZED (SELECT *, {_POS_OF_TYPED} AS pos FROM typed)"
+_LETTERS = case([(f"pos = '{tag}'", f"'{letter}'") for tag, letter in A.TAGS.items()], "'?'")
 
 
-@query()
+@query(f"""WITH {tok()}, {TAGGED}, letters AS (SELECT doc_id, string_agg(({_LETTERS}), '' ORDER BY idx) AS s FROM tagged GROUP BY doc_id),
+piece AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_extract_all(s, '{"|".join("".join(A.TAGS[x] for x in way) for way, _ in _WAYS)}|.') AS ps FROM letters)),
+placed AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - 1 AS last FROM piece)
+SELECT doc_id, last - length(p) + 1 AS first, last, {case([(f"p = '{''.join(A.TAGS[x] for x in way)}'", f"'{name}'") for way, name in _WAYS], "NULL")} AS name FROM placed WHERE length(p) > 1""")
+def custom_entities(spark, d):
+    """Patterns over parts of speech, leftmost and longest, without overlaps."""
+    return P.match_tags(docs(spark, d), TAG_PATTERNS)
+
+
+_STEM_REGION = lambda w: f"(CASE WHEN regexp_extract({w}, '[aeiouy]+[^aeiouy](.+)', 1) = '' THEN '' WHEN regexp_matches({w}, '^({'|'.join(STEM.BEGINNINGS)})') THEN regexp_replace({w}, '^({'|'.join(STEM.BEGINNINGS)})', '') ELSE regexp_extract({w}, '[aeiouy]+[^aeiouy](.+)', 1) END)"
+_STEM_SECOND = lambda w: f"regexp_extract({_STEM_REGION(w)}, '[aeiouy]+[^aeiouy](.+)', 1)"
+_STEM_SHORT = lambda w: f"regexp_matches({w}, '[^aeiouy][aeiouy][^aeiouywx3]$|^[aeiouy][^aeiouy]?$')"
+
+
+def _stem_step(w: str, suffixes, region, result) -> str:
+    """The longest suffix that fits is tried, if the region holds it."""
+    ordered = sorted(suffixes, key=len, reverse=True)
+    return case([(f"ends_with({w}, '{x}')", f"CASE WHEN length({region(w)}) >= {len(x)} THEN {result(x)} ELSE {w} END") for x in ordered], w)
+
+
+def _stem_sql() -> str:
+    cut = lambda x, come="": f"left(w, length(w) - {len(x)}) || '{come}'"
+    derived = lambda x: f"CASE WHEN regexp_matches(w, 'logi$') THEN {cut(x, 'og')} ELSE w END" if x == "ogi" else f"CASE WHEN regexp_matches(w, '[{STEM.BEFORE_LI}]li$') THEN {cut(x)} ELSE w END" if x == "li" else cut(x, STEM.STEP2[x])
+    formed = lambda x: f"CASE WHEN length({_STEM_SECOND('w')}) >= 5 THEN {cut(x)} ELSE w END" if x == "ative" else cut(x, STEM.STEP3[x])
+    ended = lambda x: f"CASE WHEN regexp_matches(w, '[st]ion$') THEN {cut(x)} ELSE w END" if x == "ion" else cut(x)
+    steps = [
+        "regexp_replace(regexp_replace(w, '^y', '3'), '([aeiou])y', '\\13')",
+        "regexp_replace(regexp_replace(regexp_replace(w, '[’'']s$', ''), 's[’'']$', ''), '[’'']$', '')",
+        case([("regexp_matches(w, '.sses$')", "left(w, length(w) - 2)"), ("regexp_matches(w, '..(ied|ies)$')", "left(w, length(w) - 2)"), ("regexp_matches(w, '.(ied|ies)$')", "left(w, length(w) - 1)"), ("regexp_matches(w, '.(us|ss)$')", "w"), ("regexp_matches(w, '[aeiouy].+s$')", "left(w, length(w) - 1)")], "w"),
+    ]
+    past = f"regexp_replace(w, '(ed|edly|ing|ingly)$', '')"
+    later = [
+        case([("regexp_matches(w, '(eed|eedly)$')", f"CASE WHEN regexp_matches({_STEM_REGION('w')}, '(eed|eedly)$') THEN regexp_replace(w, '(eedly|eed)$', 'ee') ELSE w END"), ("regexp_matches(w, '[aeiouy].*(ed|edly|ing|ingly)$')", f"'-' || {past}")], "w"),
+        case([("left(w, 1) <> '-'", "w"), ("regexp_matches(w, '(at|bl|iz)$')", "substr(w, 2) || 'e'"), (f"regexp_matches(w, '({'|'.join(STEM.DOUBLES)})$')", "substr(w, 2, length(w) - 2)"), (f"{_STEM_SHORT('substr(w, 2)')} AND {_STEM_REGION('substr(w, 2)')} = ''", "substr(w, 2) || 'e'")], "substr(w, 2)"),
+        "regexp_replace(w, '(.[^aeiouy])[y3]$', '\\1i')",
+        _stem_step("w", STEM.STEP2, _STEM_REGION, derived),
+        _stem_step("w", STEM.STEP3, _STEM_REGION, formed),
+        _stem_step("w", STEM.STEP4, _STEM_SECOND, ended),
+        case([("ends_with(w, 'e')", f"CASE WHEN {_STEM_SECOND('w')} <> '' OR {_STEM_REGION('w')} <> '' AND NOT {_STEM_SHORT('left(w, length(w) - 1)')} THEN left(w, length(w) - 1) ELSE w END"), (f"ends_with(w, 'll') AND {_STEM_SECOND('w')} <> ''", "left(w, length(w) - 1)")], "w"),
+    ]
+    whole = f"length(lower(term)) < 3 OR lower(term) IN ({listed(STEM.EXCEPTIONS)})"
+    out = [f"st0 AS MATERIALIZED (SELECT term, n, {whole} AS done, CASE WHEN length(lower(term)) < 3 THEN lower(term) ELSE coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in STEM.EXCEPTIONS.items())}}}[lower(term)], lower(term)) END AS w FROM counted)"]
+    for i, step in enumerate([*steps, None, *later]):
+        if step is None:
+            out.append(f"st{i + 1} AS MATERIALIZED (SELECT term, n, done OR w IN ({listed(STEM.KEPT)}) AS done, w FROM st{i})")
+        else:
+            out.append(f"st{i + 1} AS MATERIALIZED (SELECT term, n, done, CASE WHEN done THEN w ELSE {step} END AS w FROM st{i})")
+    # what is done before the steps keeps its digits
+    return ", ".join(out), f"st{len(steps) + len(later) + 1}"
+
+
+_STEPS, _LAST_STEP = _stem_sql()
+
+
+@query(f"WITH {tok()}, {WORDS}, counted AS (SELECT term, count(*) AS n FROM words GROUP BY term), {_STEPS} SELECT CASE WHEN {f'length(term) < 3 OR term IN ({listed(STEM.EXCEPTIONS)})'} THEN w ELSE replace(w, '3', 'y') END AS stem, sum(n)::BIGINT AS freq FROM {_LAST_STEP} GROUP BY 1")
 def stem_freq(spark, d):
-    from textloom.functions.stem import stems
-
-    return stems(A.words(toks(spark, d)).groupBy("term").agg(count_of())).groupBy("stem").agg(F.sum("n").alias("freq"))
+    return STEM.stems(A.words(toks(spark, d)).groupBy("term").agg(count_of())).groupBy("stem").agg(F.sum("n").alias("freq"))
 
 
-@query()
+@query("""WITH p AS (SELECT a.vec_id, b.vec_id AS near, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS distance
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT vec_id, near, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, near) AS rk FROM p) WHERE rk = 1""")
 def manhattan_nn(spark, d):
     from textloom.operators.vectors import nearest
 
@@ -410,7 +473,9 @@ def _pos_chain() -> str:
 
 @query(f"WITH {tok()}, {SENT}, {_pos_chain()} SELECT pos, count(*) AS n FROM c{len(L.POS_RULES)} GROUP BY ALL")
 def pos_contextual_tags(spark, d):
-    return A.contextual_pos(A.sentences(toks(spark, d))).groupBy("pos").agg(count_of())
+    letters = docs(spark, d).select(F.explode(F.split(F.translate(A.tag_string(F.col("text"), contextual=True), "\n", ""), "")).alias("tag"))
+    names = F.create_map(*[F.lit(x) for tag, letter in A.TAGS.items() for x in (letter, tag)])
+    return letters.groupBy("tag").agg(count_of()).filter("tag <> ''").select(F.element_at(names, F.col("tag")).alias("pos"), "n")
 
 
 HINT = case([(f"regexp_matches(lower(t), '{q(p)}')", f"'{h}'") for h, p in L.HINTS], "'x'")
@@ -427,7 +492,7 @@ def phrase_entity_values(spark, d):
 
 
 def _sentence_spans(spark, d):
-    return A.sentences(toks(spark, d)).groupBy("doc_id", F.col("sent_idx").alias("idx")).agg(F.min("idx").cast("long").alias("first"), F.max("idx").cast("long").alias("last"))
+    return A.sentence_spans(docs(spark, d)).select("doc_id", F.col("sent_idx").alias("idx"), "first", "last")
 
 
 SENT_SPANS = "spans AS (SELECT doc_id, sent_idx, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last FROM sent GROUP BY ALL)"
@@ -473,8 +538,9 @@ def _model(spark, d, norm="none"):
     return C.Bm25.learn(C.bag(A.words(toks(spark, d))), norm=norm)
 
 
-@query(f"""WITH {tok()}, {WORDS}, {BM25}, {_asked}, own AS (SELECT term, idf * 2.2::DOUBLE * asked.tf / ({_bound} + asked.tf) AS w FROM asked JOIN idf USING (term), shape WHERE idf <> 0)
-SELECT term, coalesce(round(w / coalesce(nullif((SELECT sqrt(sum(w * w)) FROM own), 0), 1), 6), 0)::DOUBLE AS w FROM idf LEFT JOIN own USING (term)""")
+@query(f"""WITH {tok()}, {WORDS}, {BM25}, {_asked}, own AS MATERIALIZED (SELECT term, idf * 2.2::DOUBLE * asked.tf / ({_bound} + asked.tf) AS w FROM asked JOIN idf USING (term), shape WHERE idf <> 0),
+size AS (SELECT coalesce(nullif(sqrt(sum(w * w)), 0), 1) AS s FROM own)
+SELECT idf.term, coalesce(round(own.w / s, 6), 0)::DOUBLE AS w FROM idf LEFT JOIN own USING (term) CROSS JOIN size""")
 def bm25_vector_of(spark, d):
     """A list of words as a vector over the corpus's terms."""
     return _model(spark, d, "l2").vector_of(ASKED)
@@ -500,14 +566,35 @@ def bm25_doc_term_matrix(spark, d):
     return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
-@query()
+EXAMPLES = [{"name": "noun phrase", "patterns": ["[|DET] [ADJ] [NOUN]"], "mark": [-2, -1]}, {"name": "amount", "patterns": ["[CARDINAL|MONEY] [of|NOUN]"]}, {"name": "title", "patterns": ["the [PROPN] [|PROPN]"]}]
+_D, _A, _N, _P = (A.TAGS[x] for x in ("DET", "ADJ", "NOUN", "PROPN"))
+#: The ways of EXAMPLES over one sign a symbol: letters of tags, t and o for the words, 1, 2 and 0 for entities; and from which symbol on they are marked.
+_EXAMPLE_WAYS = ((f"{_D}{_A}{_N}", "noun phrase", 1), (f"t{_P}{_P}", "title", 0), (f"{_A}{_N}", "noun phrase", 0), *((f"{x}{y}", "amount", 0) for x in "12" for y in ("o", _N)), (f"t{_P}", "title", 0))
+
+
+@query(f"""WITH {tok()}, {TAGGED}, {PHRASES}, ents AS MATERIALIZED (SELECT doc_id, first, last, entity FROM phrases UNION ALL SELECT doc_id, idx, idx, upper(type) FROM typed WHERE type IN ('email', 'url', 'mention', 'hashtag', 'emoji', 'emoticon')),
+covered AS (SELECT doc_id, unnest(range(first, last + 1)) AS idx FROM ents),
+syms AS MATERIALIZED (SELECT doc_id, first, last, CASE entity WHEN 'CARDINAL' THEN '1' WHEN 'MONEY' THEN '2' ELSE '0' END AS s FROM ents
+ UNION ALL SELECT doc_id, idx, idx, CASE lower(value) WHEN 'the' THEN 't' WHEN 'of' THEN 'o' ELSE {_LETTERS} END FROM tagged ANTI JOIN covered USING (doc_id, idx)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS k FROM syms),
+bit AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_extract_all(string_agg(s, '' ORDER BY first), '{"|".join(w for w, _, _ in _EXAMPLE_WAYS)}|.') AS ps FROM syms GROUP BY doc_id)),
+put AS (SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM bit),
+found AS MATERIALIZED (SELECT doc_id, e, e - length(p) + 1 + {case([(f"p = '{w}'", str(m)) for w, _, m in _EXAMPLE_WAYS], "0")} AS b, {case([(f"p = '{w}'", f"'{n}'") for w, n, _ in _EXAMPLE_WAYS], "NULL")} AS name FROM put WHERE length(p) > 1)
+SELECT f.doc_id, x.first::BIGINT AS first, y.last::BIGINT AS last, array_to_string(ts[x.first + 1:y.last + 1], ' ') AS value, name FROM found f JOIN numbered x ON x.doc_id = f.doc_id AND x.k = b JOIN numbered y ON y.doc_id = f.doc_id AND y.k = e JOIN toks ON toks.doc_id = f.doc_id""")
 def custom_entities_by_example(spark, d):
     """Examples with words, parts of speech, entity types and a mark."""
-    examples = [{"name": "noun phrase", "patterns": ["[|DET] [ADJ] [NOUN]"], "mark": [-2, -1]}, {"name": "amount", "patterns": ["[CARDINAL|MONEY] [of|NOUN]"]}, {"name": "title", "patterns": ["the [PROPN] [|PROPN]"]}]
-    return P.custom_entities(docs(spark, d), examples)
+    return P.custom_entities(docs(spark, d), EXAMPLES)
+
+
+_SPACED = q(rf"([\s\x{{A0}}\x{{2002}}-\x{{2005}}\x{{2009}}\x{{200A}}\x{{202F}}\x{{205F}}]*?)({T.PATTERN})")
 
 
-@query()
+@query(f"""WITH {tok()}, {PHRASES}, parts AS (SELECT doc_id, regexp_extract_all(text, '{_SPACED}', 1) AS sp, regexp_extract_all(text, '{_SPACED}', 2) AS vs FROM documents),
+pieces2 AS (SELECT doc_id, flatten(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN regexp_matches(vs[i], '{q(T.NEGATED)}') THEN [sp[i], ''] ELSE [sp[i]] END)) AS sp, ts FROM parts JOIN toks USING (doc_id)),
+shown AS (SELECT doc_id, unnest(range(0, len(ts))) AS idx, unnest(sp) AS sp, unnest(ts) AS value FROM pieces2),
+marked AS (SELECT s.doc_id, string_agg(sp || CASE WHEN b.first IS NULL THEN '' ELSE '<mark>' END || s.value || CASE WHEN e.last IS NULL THEN '' ELSE '</mark>' END, '' ORDER BY idx) AS m
+ FROM shown s LEFT JOIN phrases b ON b.doc_id = s.doc_id AND b.first = idx LEFT JOIN phrases e ON e.doc_id = s.doc_id AND e.last = idx GROUP BY s.doc_id)
+SELECT doc_id, coalesce(regexp_replace(m, '{_OUTER}', '', 'g'), '') AS marked FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN marked USING (doc_id)""")
 def marked_phrases(spark, d):
     """Texts with a sign around every phrase."""
     found = A.phrase_entities(docs(spark, d)).withColumn("seq", F.col("first"))
