@@ -11,7 +11,6 @@ The model has every word and n-gram of a bounded sample of labelled texts, as sp
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -30,13 +29,15 @@ SAMPLE, LANGUAGES = 4000, 10_000
 REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 26
 #: Words whose scores are added up at once.
 AT_ONCE = 1 << 14
-# signs that count as letters for \w but are none, as fractions and superscripts are
-_NO_LETTERS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()))
-_WORD = re.compile(rf"[^\W\d_{_NO_LETTERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; signs that the class takes in beside them, as fractions and superscripts are, end a word."""
+    words = _WORD.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    return [y for x in words for y in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
