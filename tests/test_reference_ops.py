@@ -148,3 +148,80 @@ def test_engine(spark):
         Engine(("other",))
     with pytest.raises(TypeError):
         Engine().read(spark.createDataFrame([(1, 2)], "doc_id long, text int"))
+
+
+def test_matcher(spark):
+    marked = P.Matcher([("pair", "[a] [b] [c]", (1, 2), {"tag": "X"}), ("0", "[x]"), ("one", ["d"])])
+    assert len(marked) == 3
+    for matcher in (marked, P.Matcher.from_json(marked.to_json())):
+        assert matcher.find(list("abcxd")) == [(1, 2, "pair"), (4, 4, "one")]
+        assert matcher.find(list("abcd"), then=lambda a, b, name, held: held and (a, held["tag"])) == [(1, "X")]
+    compiled = P.CustomEntities([{"name": "pair", "patterns": ["[|DET] [ADJ] [NOUN]"], "mark": [-2, -1]}, {"name": "x", "patterns": ["cat"]}])
+    assert len(compiled) == 2
+    again = P.CustomEntities.from_json(compiled.to_json())
+    text = "My best friend has a good cat."
+    assert entities(spark, text, again) == entities(spark, text, compiled) == [("best friend", "pair"), ("cat", "x")]
+
+
+def test_match_tags(spark):
+    df = spark.createDataFrame([(1, "The good cat. A dog"), (2, None), (3, "")], "doc_id long, text string")
+    got = [tuple(r) for r in P.match_tags(df, [("phrase", "[DET] [|ADJ] [NOUN]"), ("none", "[OTHER]"), ("0", "[PUNCT]")]).orderBy("first").collect()]
+    assert got == [(1, 0, 2, "phrase"), (1, 4, 5, "phrase")]
+
+
+def test_bm25_document(spark):
+    counts = bags(spark, "rats are blue", "cats are white", "some rats rats are black")
+    model = C.Bm25.learn(counts, norm="l2")
+    assert {r.term: r.w for r in model.document(counts, 0).collect()} == {"are": 0.121858, "blue": 0.895087, "rats": 0.428917}
+    assert [r.term for r in model.document(counts, 0, "tf").collect()] == ["blue", "rats", "are"]
+    whole = model.document(counts, 0, "vector").collect()
+    assert [r.term for r in whole] == sorted(r.term for r in whole) and sum(r.w > 0 for r in whole) == 3 and len(whole) == 7
+    with pytest.raises(ValueError):
+        model.document(counts, 0, "other")
+
+
+def test_vector_options(spark, words):
+    asked = spark.createDataFrame([("Cat",), ("moon",)], "word string")
+    got = {r.word: r.vec for r in V.vector_of(asked, words, 1, unknown=[7.0, 8.0]).collect()}
+    assert got == {"Cat": [1.0], "moon": [7.0]}
+    assert {r.word: r.vec for r in V.vector_of(asked, words, 1, unknown=[7.0, 8.0], safe=False).collect()} == {"Cat": [1.0, 0.0], "moon": [7.0, 8.0]}
+
+
+def test_parents(spark):
+    df = spark.createDataFrame([(1, "A cat sat. On 5 mats it sat.")], "doc_id long, text string")
+    spans = A.sentence_spans(df).withColumnRenamed("sent_idx", "idx")
+    found = A.phrase_entities(df)
+    assert [(r.value, r.parent) for r in S.parents(found, spans).collect()] == [("5", 1)]
+    assert S.parents(spark.createDataFrame([(1, 99)], "doc_id long, first long"), spans).first().parent is None
+    tokens = S.tokens_of(A.tokenize(df), spans).filter("span_idx = 0").orderBy("idx").collect()
+    assert [r.value for r in tokens] == ["A", "cat", "sat", "."]
+
+
+def test_engine_more(spark, words, capsys):
+    df = spark.createDataFrame([(1, "Cats running. The cat sat.")], "doc_id long, text string")
+    engine = Engine(("sbd", "pos"))
+    assert engine.pipe_config() == ["sbd", "pos"]
+    doc = engine.read(df)
+    assert {r.item for r in doc.stems().out(its.stem).collect()} >= {"cat", "run", "sat"}
+    assert {r.value: r.vec for r in doc.vectors(words, 2).rows.collect()}["cat"] == [1.0, 0.0]
+    doc.print_tokens(2)
+    assert "running" in capsys.readouterr().out
+    marks = spark.createDataFrame([(1, 0, 4, 4), (1, 1, 2, 3)], "doc_id long, seq int, first int, last int")
+    assert [r.item for r in doc.marked_sentences(marks).out(its.marked_up_text).orderBy("idx").collect()] == ["Cats running.", "The <mark>cat</mark> sat."]
+
+
+def test_streaming(spark, tmp_path):
+    from textloom.streaming import annotate as ST
+
+    folder = f"file://{tmp_path}/in"
+    stream = lambda: ST.source(spark, folder, "doc_id long, text string, at timestamp", 1)
+    rows = [(1, "Not good. A cat", "2024-01-01 00:10:00"), (2, None, "2024-01-01 00:20:00"), (3, "a cat", "2024-01-01 05:00:00")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string").withColumn("at", F.to_timestamp("at"))
+    for i in range(2):
+        df.filter(F.col("doc_id") % 2 == i).coalesce(1).write.mode("append").parquet(folder)
+        ST.write(ST.tokens(stream()), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.annotated(df).collect()))
+    query = ST.term_counts(stream(), "at").writeStream.outputMode("complete").trigger(availableNow=True).format("memory").queryName("term_counts").start()
+    query.awaitTermination()
+    assert {(r.start.hour, r.term): r.n for r in spark.table("term_counts").collect()} == {(0, "not"): 1, (0, "good"): 1, (0, "a"): 1, (0, "cat"): 1, (5, "a"): 1, (5, "cat"): 1}

@@ -39,6 +39,9 @@ its = SimpleNamespace(
     sentiment=lambda: F.col("sentiment"),
     span=lambda: F.array("first", "last"),
     detail=lambda: F.struct("value", "type"),
+    stem=lambda: F.col("stem"),
+    vector=lambda: F.col("vec"),
+    marked_up_text=lambda: F.col("marked"),
 )
 
 
@@ -113,6 +116,33 @@ class Document:
     def tokens(self) -> Collection:
         return Collection(self._annotated())
 
+    def print_tokens(self, n: int = 20) -> None:
+        """Prints the first tokens with what is known of them."""
+        rows = self.tokens().rows.orderBy("doc_id", "idx")
+        rows.select("doc_id", "idx", "value", "type", T.normal_of(F.col("value")).alias("normal"), "pos", "negated", F.length("spaces").alias("spaces")).show(n, truncate=False)
+
+    def stems(self) -> Collection:
+        """Tokens with a stem, found once for each distinct value."""
+        from textloom.functions.stem import stems
+
+        rows = self.tokens().rows
+        known = stems(rows.select(F.col("value").alias("term")).distinct()).withColumnRenamed("term", "value")
+        return Collection(rows.join(known, "value"))
+
+    def vectors(self, vectors: DataFrame, dims: int, **options) -> Collection:
+        """Tokens with their word's vector; options as of operators.vectors.vector_of."""
+        from textloom.operators.vectors import vector_of
+
+        rows = self.tokens().rows
+        known = vector_of(rows.select(F.col("value").alias("word")).distinct(), vectors, dims, **options)
+        return Collection(rows.join(known.withColumnRenamed("word", "value"), "value"))
+
+    def marked_sentences(self, markings: DataFrame) -> Collection:
+        """Sentences with their part of the marked text, as marked."""
+        from textloom.operators.spans import sentence_markup
+
+        return Collection(sentence_markup(self.df, markings).withColumn("idx", F.col("sent_idx")))
+
     def sentences(self) -> Collection:
         rows = self._annotated()
         score = A.score_of(F.col("value")) if "sentiment" in self.pipe else F.lit(None).cast("double")
@@ -154,6 +184,10 @@ class Engine:
             raise ValueError(f"pipe {unknown}")
         self.pipe = tuple(pipe)
 
+    def pipe_config(self) -> list[str]:
+        """A copy of the pipe."""
+        return list(self.pipe)
+
     def read(self, df: DataFrame) -> Document:
         """df has doc_id and text, a string."""
         if dict(df.dtypes).get("text") != "string":

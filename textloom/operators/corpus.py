@@ -90,6 +90,16 @@ class Bm25:
         """(term, w) for every term of the corpus, 0 where the tokens lack it."""
         return self.idf.select("term").join(F.broadcast(self._weights(tokens, False)), "term", "left").select("term", F.coalesce("w", F.lit(0.0)).alias("w"))
 
+    def document(self, counts: DataFrame, doc_id: int, what: str = "bow") -> DataFrame:
+        """A document of the corpus's (doc_id, term, tf) by its weights: ``bow`` (term, w), ``tf`` the same with the
+        heaviest terms first, ``vector`` (term, w) of every term in ascending order, 0 where the document lacks it."""
+        if what not in ("bow", "tf", "vector"):
+            raise ValueError(f"what {what}")
+        own = bm25_weights(counts, self.k, self.k1, self.b, self.norm, self.precision).filter(F.col("doc_id") == doc_id).select("term", "w")
+        if what == "tf":
+            return own.orderBy(F.desc("w"), "term")
+        return own if what == "bow" else self.idf.select("term").join(own, "term", "left").select("term", F.coalesce("w", F.lit(0.0)).alias("w")).orderBy("term")
+
     def save(self, path: str) -> None:
         self.idf.write.parquet(f"{path}/idf")
         settings = (self.n_docs, self.mean_length, float(self.k), float(self.k1), float(self.b), self.norm, self.precision)

@@ -56,11 +56,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str) -> Da
     return best.select(key, F.col("x.near").alias("near"), F.round("x.distance", 6).alias("distance"))
 
 
-def vector_of(words: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """(word, vec) of words (word, ...), looked up in lower case; zeros for those without a vector or null."""
-    zeros = F.array_repeat(F.lit(0.0), dims)
+def vector_of(words: DataFrame, vectors: DataFrame, dims: int, unknown: list[float] | None = None, safe: bool = True) -> DataFrame:
+    """(word, vec) of words (word, ...), looked up in lower case; ``unknown`` (else zeros) for those without a vector or
+    null. ``safe`` leaves out what stored vectors have beyond their dims, such as a length or an index."""
+    if unknown is not None and len(unknown) < dims:
+        raise ValueError(f"unknown has fewer than {dims} numbers")
+    other = F.array(*[F.lit(float(x)) for x in unknown]) if unknown is not None else F.array_repeat(F.lit(0.0), dims)
     known = vectors.select(F.col("word").alias("_word"), F.col("vec").cast("array<double>").alias("_vec"))
-    return words.join(known, F.lower("word") == F.col("_word"), "left").select("word", F.coalesce("_vec", zeros).alias("vec"))
+    vec = F.coalesce("_vec", other)
+    return words.join(known, F.lower("word") == F.col("_word"), "left").select("word", (F.slice(vec, 1, dims) if safe else vec).alias("vec"))
 
 
 def document_vectors(terms: DataFrame, vectors: DataFrame, dims: int, precision: int = 6) -> DataFrame:

@@ -1 +1 @@
-"""Text analytics over DataFrames."""
+"""Annotating texts as they arrive."""
