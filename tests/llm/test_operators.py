@@ -187,14 +187,12 @@ def test_firsts(spark, monkeypatch):
 def test_chunks():
     from textloom.llm import chunks
 
-    table = chunks.ChunkTable(True, lambda new: (np.frombuffer(b"".join(new), np.uint8), np.array([len(x) for x in new])), "u1")
     for limit in (1 << 19, 3):
-        chunks.REMEMBERED = limit
-        for texts in ([*ODD, "", "a b a"], ["x y z " * 5, "a, b"]):
+        table = chunks.ChunkTable(True, lambda new: (np.frombuffer(b"".join(new), np.uint8), np.array([len(x) for x in new])), "u1", limit)
+        for texts in ([*ODD, "", "a b a"], ["x y z " * 5, "a, b"]) * 2:
             held = [x.encode() for x in texts]
             values, n = table.of(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]))
             assert values.tobytes() == b"".join(held) and n.tolist() == [len(x) for x in held]
-    chunks.REMEMBERED = 1 << 19
 
 
 def test_token_output_added_token(spark, tmp_path):
@@ -331,6 +329,28 @@ def test_quality_toxic(spark):
     assert quality.fit([])[quality.NAMED - 1] < 0
 
 
+def test_quality_labels(spark):
+    """Toxic words that only labels tell: learnt from half of the documents, caught in the others, and nowhere else."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijé", k=rng.randint(2, 8))) for _ in range(400)]
+    bad = ["zutbo", "Qärtz", "éxaf", "wump"]
+    clean = [" ".join(rng.choices(vocabulary, k=60)) + "." for _ in range(200)]
+    toxic = [" ".join(rng.sample([*rng.choices(vocabulary, k=55), *(f"\u201c{w.upper()}!\u201d" for w in rng.choices(bad, k=5))], 60)) + "." for _ in range(80)]
+    docs = list(enumerate([*clean, *toxic]))
+    df = spark.createDataFrame([*docs, (900, None), (901, ""), (None, toxic[0]), docs[210]], "doc_id long, text string")
+    verdicts = [(d, int(d >= 200)) for d, _ in docs if d % 2 == 0]
+    labels = spark.createDataFrame([*verdicts, (901, 1), (900, 1), (None, 1), (5000, 1), (3, None), verdicts[0]], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    learnt = quality.learn_toxic(quality.documents(df), labels)
+    letters = [x.encode() for x in ("zutbo", "qärtz", "éxaf", "wump")]
+    runs = quality._letter_runs(np.frombuffer(b"".join(letters), np.uint8), np.cumsum([0, *map(len, letters)]))
+    assert set(runs.hashes.tolist()) <= set(learnt.tolist()) and len(learnt) < 12
+    got = {r.doc_id: r.keep for r in quality.quality(df, labels=labels).collect() if r.doc_id is not None}
+    assert np.mean([got[d] for d, _ in docs[:200]]) > 0.97 and np.mean([got[d] for d, _ in docs[200:] if d % 2]) < 0.05
+    assert np.mean([r.keep for r in quality.quality(df).filter("doc_id between 200 and 279").collect()]) > 0.9
+    assert not len(quality.learn_toxic(quality.documents(df), empty(labels))) and not len(quality.learn_toxic(quality.documents(empty(df)), labels))
+    assert quality.quality(empty(df), labels=labels).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/7x", "https://b.example.com/en/1?x", "x://example.net/de/8", "x://net/de/", "x://m.org/es/#t", "no scheme", None, "", "x://evilcom/en/", "h://ads.tracker.com/click/banner", "h://en.encyclopedia.org/wiki/Glacier"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))

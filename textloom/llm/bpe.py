@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from textloom.llm.chunks import SPACE_LED, ChunkTable, spread, table_of
 from textloom.llm.common import blocks, documents
 
-#: Bytes of text whose chunks are looked up at once.
-BLOCK_BYTES = 1 << 23
+#: Bytes of text whose chunks are looked up at once, and chunks that a worker remembers.
+BLOCK_BYTES, REMEMBERED = 1 << 21, 1 << 18
 #: Buckets of the literal rank map, each a small map that is searched in order.
 BUCKETS = 1 << 16
 NONE = 2**31 - 1
@@ -124,7 +124,7 @@ class _Ranked:
 def _bpe(path: str, pattern: str):
     def made() -> tuple[ChunkTable, _Ranked]:
         ranked = _Ranked(path, pattern)
-        return ChunkTable(pattern == SPACE_LED, ranked, "i4"), ranked
+        return ChunkTable(pattern == SPACE_LED, ranked, "i4", REMEMBERED), ranked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranked = table_of(("ranks", path, pattern), made)

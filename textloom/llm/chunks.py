@@ -17,7 +17,7 @@ import pyarrow as pa
 #: The byte-level pattern of the public vocabularies: a space goes with what follows it. (A fixed value.)
 SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers; past that it keeps those met more than once, or none.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
 
 OTHER, ALNUM, SIGN, QUOTE, WHITE, LINE, LEAD, HIGH = range(8)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -89,8 +89,8 @@ class ChunkTable:
     ``encode`` takes new chunks as bytes and gives all their values in a row, and how many each has.
     """
 
-    def __init__(self, led: bool, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: str):
-        self.led, self.encode, self.kind = led, encode, kind
+    def __init__(self, led: bool, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: str, most: int | None = None):
+        self.led, self.encode, self.kind, self.most = led, encode, kind, most or REMEMBERED
         self._reset([], np.zeros(0, kind), np.zeros(0, np.int64))
 
     def _reset(self, keys: list[bytes], values: np.ndarray, lengths: np.ndarray) -> None:
@@ -101,14 +101,14 @@ class ChunkTable:
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.met > 1)
-        if len(kept) * 2 > REMEMBERED:
+        if len(kept) * 2 > self.most:
             kept = np.zeros(0, np.int64)
         keys = list(self.numbers)
         self._reset([keys[i] for i in kept.tolist()], self.values[spread(self.starts[kept], self.lengths[kept])], self.lengths[kept])
 
     def of(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The values of a block's texts in a row, and how many each text has."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > self.most:
             self._forget()
         starts, bounds = cuts(data, offsets, self.led, whole)
         if not len(starts):

@@ -6,10 +6,12 @@ blocks of whole documents, so that no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths stored while passing() is open.
+_PASSING: list[list[str]] = []
+
+
 def store(df: DataFrame) -> DataFrame:
     """Writes a phase's result as Parquet into the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
@@ -52,15 +58,33 @@ def store(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _PASSING:
+        made.append(path)
     return out
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside are deleted at its end, but for paths that have been removed from the list."""
+    made: list[str] = []
+    _PASSING.append(made)
+    try:
+        yield made
+    finally:
+        _PASSING.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes stored tables that no later phase reads."""
     for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, df._stored_at)
 
 
 def release(spark: SparkSession) -> None:
@@ -87,6 +111,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hands the memory that a finished task has freed back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

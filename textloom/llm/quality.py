@@ -2,8 +2,9 @@
 
 Heuristic labellers each vote good, bad or nothing on a document. How accurate those of shape are, and how common good
 documents are, is estimated without labels by expectation-maximisation over the counts of vote patterns, which are taken
-over all documents and number 2 * 3^8 at most. The labeller of words looks for insults; a document is bad if it says so,
-whatever its shape. Posterior labels of a bounded sample then train a linear scorer on hashed features of a text's shape
+over all documents and number 2 * 3^8 at most. The labeller of words looks for insults, and, where a table of labelled
+documents is given, for words that toxic ones of a bounded sample have and others hardly ever; a document is bad if it
+says so, whatever its shape. Posterior labels of a bounded sample then train a linear scorer on hashed features of a text's shape
 and on its hashed words, which judges every document, also those on which the labellers are silent.
 """
 
@@ -54,9 +55,26 @@ INSULTS = (
     *("abschaum", "arschloch", "dummkopf", "erbärmlich", "hurensohn", "idioten", "schwachkopf", "trottel", "versager", "wertlos", "widerlich"),
     *("asqueroso", "asquerosa", "basura", "cabrón", "escoria", "estúpido", "estúpida", "gilipollas", "idiota", "imbécil", "patético", "patética", "payaso"),
 )
-_INSULT = re.compile(f"(?:{'|'.join(INSULTS)})s?(?![^\\W\\d_])")
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that tries each shared beginning once."""
+    rest: dict[str, list[str]] = {}
+    for x in words:
+        rest.setdefault(x[:1], []).append(x[1:])
+    parts = [re.escape(c) + _any_of(own) for c, own in sorted(rest.items()) if c]
+    return "" if not parts else parts[0] if len(parts) == 1 and "" not in rest else f"(?:{'|'.join(parts)}){'?' if '' in rest else ''}"
+
+
+_INSULT = re.compile(f"{_any_of(sorted(set(INSULTS)))}s?(?![^\\W\\d_])")
 #: From this share of insults among the words a text is toxic.
 TOXIC = 0.006
+#: Labelled documents of either kind that toxic words are learnt from, about; in how many toxic ones a word must be, how
+#: many times as often there as in others, and how many such words a text must have before they count.
+LABELLED, SEEN, LIFT, SEVERAL = 20_000, 4, 20, 2
+_LETTER = np.full(256, 0x20, np.uint8)  # letters in lower case, as far as ASCII goes, and all bytes beyond it
+_LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
+_LETTER[128:] = np.arange(128, 256)
 #: Hashed features: shares by labeller and of insults, shapes, words. Before the fit, weight of a share that is toxic.
 NAMED, SHAPES, WORDS, TOXIC_START = 64 * (len(LABELLERS) + 1), (1 << 13) - 512, 1 << 16, -10.0
 FEATURES = NAMED + SHAPES + WORDS
@@ -69,13 +87,75 @@ def _insults(text: str) -> int:
     return sum(not text[x.start() - 1 : x.start()].isalpha() for x in _INSULT.finditer(text))
 
 
-def _shares(words: Words, data: np.ndarray, row: int) -> dict[str, float] | None:
-    """The labellers' signals; that of insults alone for a text of few words, None for one without words."""
+def _letter_runs(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The runs of letters of a block, with capitals of two bytes as small ones, and without quotes and dashes."""
+    plain = _LETTER[data]
+    lead = np.flatnonzero(plain[:-1] == 0xC3)
+    capital = lead[(plain[lead + 1] < 0x9F) & (plain[lead + 1] != 0x97)] + 1
+    plain[capital] += 0x20
+    sign = np.flatnonzero((plain[:-1] == 0xC2) & (plain[1:] >= 0xA0))
+    plain[sign] = plain[sign + 1] = 0x20
+    sign = np.flatnonzero((plain[:-2] == 0xE2) & (plain[1:-1] == 0x80))
+    plain[sign] = plain[sign + 1] = plain[sign + 2] = 0x20
+    return Words(plain, offsets)
+
+
+def _learnt(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How many words of each text are learnt as toxic (hashes in order); fewer than SEVERAL count as none."""
+    if not len(toxic):
+        return np.zeros(len(offsets) - 1, np.int64)
+    words = _letter_runs(data, offsets)
+    hit = toxic[np.minimum(np.searchsorted(toxic, words.hashes), len(toxic) - 1)] == words.hashes
+    n = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.bounds])
+    return np.where(n >= SEVERAL, n, 0)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (h, t, c): in how many toxic and other texts a word is; those of no word count the texts."""
+    for rows, data, offsets in blocks(batches):
+        words = _letter_runs(data, offsets)
+        kind = np.asarray(rows.column("toxic"), np.int64)
+        pairs = np.unique(np.stack([words.owners().astype(np.uint64), words.hashes]), axis=1) if len(words.hashes) else np.zeros((2, 0), np.uint64)
+        found, place = np.unique(pairs[1], return_inverse=True)
+        t = np.bincount(place, kind[pairs[0].astype(np.int64)], len(found)).astype(np.int64)
+        c = np.bincount(place, minlength=len(found)) - t
+        h = pa.concat_arrays([pa.array(found.view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([h, pa.array(np.append(t, kind.sum())), pa.array(np.append(c, len(kind) - kind.sum()))], ["h", "t", "c"])
+
+
+def learn_toxic(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> np.ndarray:
+    """Hashes of words that tell of toxic documents, from docs (doc_id, text) and labels (doc_id, toxic), in order.
+
+    About ``sample`` labelled documents of either kind are chosen by a hash of their id, and one of equal texts counts.
+    Labels without a doc_id or a verdict, and of no document, tell nothing; a document with several is toxic if one
+    says so. No labels, no words.
+    """
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sizes = {x.toxic: x.n for x in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes.get(1):
+        return np.zeros(0, np.uint64)
+    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    # two times the sample at most, about
+    texts = docs.join(F.broadcast(chosen), "doc_id").filter("text <> ''").groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    counts = texts.select("toxic", "text").mapInArrow(_counted, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    found = counts.filter((F.col("t") >= SEEN) | F.col("h").isNull()).toArrow()
+    h, t, c = (np.asarray(found.column(x).combine_chunks().fill_null(0)) for x in ("h", "t", "c"))
+    total = np.asarray(found.column("h").combine_chunks().is_null())
+    if not total.any():
+        return np.zeros(0, np.uint64)
+    n_toxic, n_other = int(t[total].sum()), int(c[total].sum())
+    telling = ~total & (t >= SEEN) & (t * float(n_other) >= LIFT * (c + 1.0) * n_toxic)
+    return np.sort(h[telling].view(np.uint64))
+
+
+def _shares(words: Words, data: np.ndarray, row: int, learnt: int = 0) -> dict[str, float] | None:
+    """The labellers' signals, ``learnt`` being how many learnt words there are; that of insults alone for a text of few words, None for one without words."""
     at = words.of(row)
     n = at.stop - at.start
     if not n:
         return None
-    toxic = _insults(data[words.starts[at.start] : words.ends[at.stop - 1]].tobytes().decode()) / n
+    toxic = max(learnt, _insults(data[words.starts[at.start] : words.ends[at.stop - 1]].tobytes().decode())) / n
     if n < FEW:
         return {"toxic": toxic}
     starts, ends, hashes = words.starts[at], words.ends[at], words.hashes[at]
@@ -133,23 +213,29 @@ def _features(shares: dict[str, float] | None, data: np.ndarray, hashes: np.ndar
     return np.concatenate([np.array(named, np.int64), at + NAMED, word + NAMED + SHAPES]), np.concatenate(weights).astype(np.float32)
 
 
-def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in blocks(batches):
-        words = Words(data, offsets, fold=True)
-        patterns = [_pattern(_shares(words, data, i)) for i in range(rows.num_rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string())], ["votes"])
+def _voted(toxic: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches):
+            words, learnt = Words(data, offsets, fold=True), _learnt(data, offsets, toxic).tolist()
+            patterns = [_pattern(_shares(words, data, i, learnt[i])) for i in range(rows.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string())], ["votes"])
 
+    return run
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in blocks(batches):
-        words = Words(data, offsets, fold=True)
-        out: list[tuple] = []
-        for i in range(rows.num_rows):
-            shares = _shares(words, data, i)
-            at, weight = _features(shares, data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
-            out.append((_pattern(shares), at.astype(np.int32).tobytes(), weight.tobytes()))
-        votes, at, weight = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["votes", "at", "weight"])
+
+def _sampled(toxic: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in blocks(batches):
+            words, learnt = Words(data, offsets, fold=True), _learnt(data, offsets, toxic).tolist()
+            out: list[tuple] = []
+            for i in range(rows.num_rows):
+                shares = _shares(words, data, i, learnt[i])
+                at, weight = _features(shares, data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
+                out.append((_pattern(shares), at.astype(np.int32).tobytes(), weight.tobytes()))
+            votes, at, weight = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["votes", "at", "weight"])
+
+    return run
 
 
 def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
@@ -198,15 +284,15 @@ def fit(rows: list[tuple[bytes, bytes, float]]) -> np.ndarray:
     return weights
 
 
-def _scored(weights: np.ndarray, keep: float):
+def _scored(weights: np.ndarray, toxic: np.ndarray, keep: float):
     """Rows with a column text_ -> their other columns, score and keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text_"):
-            words = Words(data, offsets, fold=True)
+            words, learnt = Words(data, offsets, fold=True), _learnt(data, offsets, toxic).tolist()
             scores = []
             for i in range(rows.num_rows):
-                at, weight = _features(_shares(words, data, i), data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
+                at, weight = _features(_shares(words, data, i, learnt[i]), data[offsets[i] : offsets[i + 1]], words.hashes[words.of(i)])
                 scores.append(1 / (1 + np.exp(-np.clip(weights[at] @ weight + weights[-1], -500, 500))) if len(at) else 0.0)
             others = [i for i, c in enumerate(rows.schema.names) if c != "text_"]
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in others), pa.array(scores, pa.float64()), pa.array([x >= keep for x in scores], pa.bool_())], [*(rows.schema.names[i] for i in others), "score", "keep"])
@@ -214,28 +300,30 @@ def _scored(weights: np.ndarray, keep: float):
     return run
 
 
-def learn(df: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def learn(df: DataFrame, sample: int = SAMPLE, toxic: np.ndarray | None = None) -> np.ndarray:
     """The scorer's weights: vote patterns are counted over all of df, the fit sees about ``sample`` texts."""
-    docs = documents(df)
-    counts = {x.votes: x.n for x in docs.mapInArrow(_voted, "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs, toxic = documents(df), np.zeros(0, np.uint64) if toxic is None else toxic
+    counts = {x.votes: x.n for x in docs.mapInArrow(_voted(toxic), "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = estimate(counts)
     share = min(1.0, sample / max(1, sum(counts.values())))
     chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("text").distinct()
-    rows = chosen.mapInArrow(_sampled, "votes string, at binary, weight binary").toLocalIterator()
+    rows = chosen.mapInArrow(_sampled(toxic), "votes string, at binary, weight binary").toLocalIterator()
     return fit(sorted((bytes(x.at), bytes(x.weight), posterior[x.votes]) for x in rows))
 
 
-def quality(df: DataFrame, sample: int = SAMPLE, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(df: DataFrame, sample: int = SAMPLE, keep: float = KEEP, carry: tuple[str, ...] = (), labels: DataFrame | None = None, labelled: int = LABELLED) -> DataFrame:
     """Per row of df (doc_id, text): doc_id, the columns to carry, score (0 to 1), keep.
 
-    Null, empty and blank texts score 0 and are not kept. Equal texts have equal scores; repeated rows and null
-    doc_ids are returned as they come. Other columns are ignored; an empty table gives an empty result. Carried
-    columns must not be named score, keep or text_.
+    ``labels`` (doc_id, toxic) teaches the labeller of words what it does not know, from about ``labelled`` documents
+    of either kind. Null, empty and blank texts score 0 and are not kept. Equal texts have equal scores; repeated rows
+    and null doc_ids are returned as they come; a text of any length is judged whole. Other columns are ignored; an
+    empty table gives an empty result. Carried columns must not be named score, keep or text_.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
     schema = rows.drop("text_").schema.add("score", "double").add("keep", "boolean")
-    return rows.mapInArrow(_scored(learn(df, sample), keep), schema)
+    toxic = np.zeros(0, np.uint64) if labels is None else learn_toxic(documents(df), labels, labelled)
+    return rows.mapInArrow(_scored(learn(df, sample, toxic), toxic, keep), schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -25,7 +25,7 @@ from textloom.llm.common import blocks, discard, documents, release, shared_dir,
 #: Documents in a block, about.
 BLOCK_ROWS = 2048
 #: Chunks that are encoded as the lines of one text, and bytes of text whose chunks are looked up at once.
-LINES, BLOCK_BYTES = 500, 1 << 23
+LINES, BLOCK_BYTES = 500, 1 << 22
 #: Blocks whose prefix sums one task makes.
 SUMMED = 4096
 
