@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import bpe
-from textloom.llm.common import store
+from textloom.llm.common import discard, passing, store
 from textloom.llm.decontaminate import uncontaminated
 from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.quality import quality
@@ -20,7 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer rejects go, and so do those without words."""
-    return quality(docs, carry=COLUMNS[1:]).filter("keep").select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality(docs, carry=COLUMNS[1:], labels=labels).filter("keep").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage stored for itself, and the table before, are deleted once its own result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir))
+        with passing(spark) as made:
+            docs = store(stage(spark, docs, sf_dir))
+            made.remove(docs._stored_at)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
