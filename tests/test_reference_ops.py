@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textloom.engine import Engine, as_, its
 from textloom.operators import annotate as A
 from textloom.operators import corpus as C
+from textloom.operators import lexicon as LX
 from textloom.operators import patterns as P
 from textloom.operators import spans as S
 from textloom.operators import vectors as V
@@ -225,3 +226,24 @@ def test_streaming(spark, tmp_path):
     query = ST.term_counts(stream(), "at").writeStream.outputMode("complete").trigger(availableNow=True).format("memory").queryName("term_counts").start()
     query.awaitTermination()
     assert {(r.start.hour, r.term): r.n for r in spark.table("term_counts").collect()} == {(0, "not"): 1, (0, "good"): 1, (0, "a"): 1, (0, "cat"): 1, (5, "a"): 1, (5, "cat"): 1}
+
+
+@pytest.mark.parametrize("small", [100, 0])
+def test_lexicon(spark, monkeypatch, small):
+    monkeypatch.setattr(LX, "SMALL", small)
+    tokens = A.tokenize_spaced(spark.createDataFrame([(1, "I'm gonna go. Colour it, Gonna")], "doc_id long, text string"))
+    table = spark.createDataFrame([("gonna", [("gon", "going", "go", "VERB"), ("na", "to", "to", "PART")]), ("it", []), (None, None)], f"text string, parts {LX.PART}")
+    rows = LX.expand(tokens, table).orderBy("idx", "part").collect()
+    assert "".join(r.spaces + r.value for r in rows) == "I'm gonna go. Colour it, gonna"
+    assert [(r.value, r.normal, r.pos) for r in rows if r.normal] == [("gon", "going", "VERB"), ("na", "to", "PART")] * 2
+    lexemes = spark.createDataFrame([("colour", "color", ["NOUN"], "color", False), ("go", "go", ["VERB", "NOUN"], "go", False), ("it", "it", ["PRON"], "it", True)], "lexeme string, normal string, pos array<string>, lemma string, is_stop boolean")
+    got = {r.value: (r.normal, r.lemma, r.pos, r.is_stop, r.is_oov) for r in LX.annotate(tokens, lexemes).collect()}
+    assert got["Colour"] == ("color", "color", "PROPN", False, False) and got["it"] == ("it", "it", "PRON", True, False)
+    assert got["go"] == ("go", "go", None, False, False) and got["gonna"][3:] == (False, True) and got["."][2] == "PUNCT"
+    assert LX.annotate(tokens.filter("false"), lexemes).count() == 0
+
+
+def test_unknown_pos(spark):
+    words = {"running": "VERB", "walked": "VERB", "slowly": "ADV", "drinkable": "ADJ", "happier": "ADJ", "worker": "NOUN", "Hyderabad": "PROPN", "pakistan": "PROPN", "antibody": "ADJ", "crossword": "NOUN", "zzz": "NOUN", "THE": "PROPN", "nation": "NOUN", "été": "PROPN"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", A.unknown_pos(F.col("w")).alias("pos")).collect()
+    assert {r.w: r.pos for r in rows} == words

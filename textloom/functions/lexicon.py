@@ -22,6 +22,12 @@ POS = {
     "ADV": "here there then again very too only so never".split(),
     "ADJ": "good bad great best worst other same such own few more most".split(),
 }
+# fixed values: what the end, else the beginning of an unknown word in small letters tells of it; the longest counts
+SUFFIX_POS = {
+    "ing": "VERB", "ed": "VERB", "ly": "ADV", "able": "ADJ", "tish": "ADJ", "like": "ADJ", "ous": "ADJ", "ful": "ADJ", "ary": "ADJ", "less": "ADJ", "ier": "ADJ", "est": "ADJ", "fy": "ADJ", "ky": "ADJ",
+    "es": "NOUN", "er": "NOUN", "or": "NOUN", "ity": "NOUN", "ion": "NOUN", "llah": "PROPN", "stan": "PROPN", "gton": "PROPN", "abad": "PROPN", "land": "PROPN", "pur": "PROPN", "tnam": "PROPN",
+}
+PREFIX_POS = {"anti": "ADJ", "post": "ADJ", "non": "ADJ", "cross": "NOUN"}
 OPEN_CLASSES = ("ADJ", "ADV", "INTJ", "NOUN", "PROPN", "VERB", "NUM", "SYM")
 TYPE_POS = {"number": "NUM", "decade": "NUM", "punctuation": "PUNCT", "url": "SYM", "email": "SYM", "hashtag": "SYM", "emoji": "SYM", "emoticon": "SYM", "time": "SYM", "symbol": "SYM", "mention": "PROPN", "ordinal": "ADJ", "tabCRLF": "SPACE"}
 IRREGULAR = {"was": "be", "were": "be", "is": "be", "are": "be", "been": "be", "am": "be", "has": "have", "had": "have", "did": "do", "does": "do", "men": "man", "women": "woman", "children": "child", "better": "good", "best": "good", "worse": "bad", "worst": "bad", "ate": "eat", "went": "go"}

@@ -143,12 +143,27 @@ def document_sentiment(negated: DataFrame) -> DataFrame:
 TAGS = {tag: chr(65 + i) for i, tag in enumerate(sorted({*L.POS, *L.TYPE_POS.values(), *L.OPEN_CLASSES}))}
 
 
+SMALL = r"^[a-z][a-z\-–—.]*$"
+_ENDINGS = f"(?:{'|'.join(L.SUFFIX_POS)})$"
+_BEGINNINGS = f"^(?:{'|'.join(L.PREFIX_POS)})"
+
+
+def unknown_pos(word: Column) -> Column:
+    """The tag of a word that no list has: a name unless in small letters, else by its ending or beginning."""
+    ending, beginning = F.regexp_extract(word, _ENDINGS, 0), F.regexp_extract(word, _BEGINNINGS, 0)
+    out = F.lit("NOUN")
+    for found, table in ((beginning, L.PREFIX_POS), (ending, L.SUFFIX_POS)):
+        for tag in dict.fromkeys(table.values()):
+            out = F.when(found.isin(*(x for x, t in table.items() if t == tag)), tag).otherwise(out)
+    return F.when(word.rlike(SMALL), out).otherwise("PROPN")
+
+
 def pos_of(token: Column) -> Column:
-    """Default tag: closed-class words by list, signs by type, capitalised words as names, others by suffix."""
+    """Default tag: closed-class words by list, signs by type, other words as unknown_pos tells."""
     low = F.lower(token)
-    guess = F.when(token.rlike("^[A-Z]"), "PROPN").when(low.endswith("ly"), "ADV").when(low.endswith("ing") | low.endswith("ed"), "VERB").when(low.rlike("(?:able|ous|ful|ive)$"), "ADJ").otherwise("NOUN")
     kind = T.type_of(token)
-    signs = guess
+    guess = unknown_pos(token)
+    signs = F.when(kind == "word", guess).when(token.rlike("^[A-Z]"), "PROPN").otherwise("NOUN")
     for name, tag in L.TYPE_POS.items():
         signs = F.when(kind == name, tag).otherwise(signs)
     # letters alone are a word

@@ -10,6 +10,7 @@ from textloom.functions import stem as STEM
 from textloom.functions import text as T
 from textloom.operators import annotate as A
 from textloom.operators import corpus as C
+from textloom.operators import lexicon as LEX
 from textloom.operators import patterns as P
 from textloom.operators import spans as S
 from textloom.sources.tables import read
@@ -45,10 +46,11 @@ MARK = f"CASE WHEN lower(value) IN ({listed(L.CUES)}) THEN 1 WHEN lower(value) I
 NEG = rf"neg0 AS (SELECT *, {MARK} AS mark FROM sent), neg AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id, sent_idx ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AND mark IS NULL AND regexp_matches(value, '[\p{{L}}\p{{N}}]') AS negated FROM neg0)"
 SCORE = case([(f"lower(value) = '{w}'", f"{s}::DOUBLE / 1000") for w, s in L.SENTIMENT.items()], "NULL")
 SENTIMENT = f"scored AS (SELECT doc_id, sent_idx, {SCORE} AS s, negated FROM neg), sentiment AS (SELECT doc_id, sent_idx, coalesce(sum(CASE WHEN negated THEN -s ELSE s END) / nullif(count(s), 0), 0.0) AS sentiment FROM scored GROUP BY ALL)"
+_BY_END = [(f"regexp_extract(value, '{A._ENDINGS}') IN ({listed(x for x, t in L.SUFFIX_POS.items() if t == tag)})", f"'{tag}'") for tag in dict.fromkeys(L.SUFFIX_POS.values())]
+_BY_START = [(f"regexp_extract(value, '{A._BEGINNINGS}') IN ({listed(x for x, t in L.PREFIX_POS.items() if t == tag)})", f"'{tag}'") for tag in dict.fromkeys(L.PREFIX_POS.values())]
+UNKNOWN_POS = case([(f"NOT regexp_matches(value, '{A.SMALL}')", "'PROPN'"), *_BY_END, *_BY_START], "'NOUN'")
 POS = case(
-    [(f"lower(value) IN ({listed(w)})", f"'{t}'") for t, w in L.POS.items()]
-    + [(f"({TYPE}) = '{n}'", f"'{t}'") for n, t in reversed(L.TYPE_POS.items())]
-    + [("regexp_matches(value, '^[A-Z]')", "'PROPN'"), ("regexp_matches(lower(value), 'ly$')", "'ADV'"), ("regexp_matches(lower(value), '(?:ing|ed)$')", "'VERB'"), ("regexp_matches(lower(value), '(?:able|ous|ful|ive)$')", "'ADJ'")],
+    [(f"lower(value) IN ({listed(w)})", f"'{t}'") for t, w in L.POS.items()] + [(f"({TYPE}) = '{n}'", f"'{t}'") for n, t in reversed(L.TYPE_POS.items())] + [(f"({TYPE}) = 'word'", UNKNOWN_POS), ("regexp_matches(value, '^[A-Z]')", "'PROPN'")],
     "'NOUN'",
 )
 LEMMA = case([(f"lower(value) = '{w}'", f"'{v}'") for w, v in L.IRREGULAR.items()] + [(f"regexp_matches(lower(value), '{p}')", f"left(lower(value), length(value) - {g}) || '{c}'") for p, g, c in L.LEMMA_RULES], "lower(value)")
@@ -599,3 +601,31 @@ def marked_phrases(spark, d):
     """Texts with a sign around every phrase."""
     found = A.phrase_entities(docs(spark, d)).withColumn("seq", F.col("first"))
     return S.apply_markings(docs(spark, d), found)
+
+
+#: Contractions and lexemes as a user's tables would have them.
+CONTRACTIONS = (("gonna", (("gon", "going", "go", "VERB"), ("na", "to", "to", "PART"))), ("cannot", (("can", "can", "can", "AUX"), ("not", "not", "not", "PART"))), ("of", (("o", "of", "of", "ADP"), ("f", "of", "of", "ADP"))))
+LEXEMES = (("the", "the", ("DET",), "the", True), ("of", "of", ("ADP",), "of", True), ("trash", "trash", ("NOUN", "VERB"), "trash", False), ("idiot", "idiot", ("NOUN",), "idiot", False), ("colour", "color", ("NOUN",), "color", False))
+_values = lambda rows: ", ".join(f"({', '.join(r)})" for r in rows)
+_s = lambda x: f"'{x}'"
+
+
+@query(f"""WITH {tok()}, parts(text, part, value2, normal, lemma, pos) AS (VALUES {_values((_s(t), str(i), *map(_s, p)) for t, ps in CONTRACTIONS for i, p in enumerate(ps))})
+SELECT coalesce(part, 0)::BIGINT AS part, coalesce(value2, lower(value)) AS term, normal, pos, count(*) AS n FROM tok LEFT JOIN parts ON lower(value) = text GROUP BY ALL""")
+def lexicon_expand(spark, d):
+    """Tokens with a user's contractions in their parts, counted."""
+    table = spark.createDataFrame([(t, ps) for t, ps in CONTRACTIONS], f"text string, parts {LEX.PART}")
+    rows = LEX.expand(toks(spark, d), table)
+    return rows.select(F.col("part").cast("long").alias("part"), F.when(F.col("normal").isNull(), F.lower("value")).otherwise(F.col("value")).alias("term"), "normal", "pos").groupBy("part", "term", "normal", "pos").agg(count_of())
+
+
+@query(f"""WITH {tok()}, lex(lexeme, normal, tag, lemma, stop) AS (VALUES {_values((_s(w), _s(n), _s(t[0]) if len(t) == 1 else 'NULL', _s(m), str(k)) for w, n, t, m, k in LEXEMES)}),
+counted AS (SELECT value, count(*) AS n FROM tok GROUP BY value),
+found AS (SELECT c.value, c.n, coalesce(a.normal, b.normal, lower(c.value)) AS normal, coalesce(a.stop, b.stop, false) AS is_stop, a.lexeme IS NULL AND b.lexeme IS NULL AS is_oov,
+ CASE WHEN a.lexeme IS NOT NULL THEN a.tag WHEN b.lexeme IS NOT NULL THEN CASE WHEN b.tag IN ('NOUN', 'ADJ') THEN 'PROPN' ELSE b.tag END ELSE {POS.replace('value', 'c.value')} END AS pos
+ FROM counted c LEFT JOIN lex a ON a.lexeme = c.value LEFT JOIN lex b ON b.lexeme = lower(c.value))
+SELECT is_oov, is_stop, pos, count(DISTINCT normal) AS n_normals, sum(n)::BIGINT AS n FROM found GROUP BY ALL""")
+def lexicon_tags(spark, d):
+    """What a user's lexicon tells of the tokens."""
+    table = spark.createDataFrame(LEXEMES, "lexeme string, normal string, pos array<string>, lemma string, is_stop boolean")
+    return LEX.annotate(toks(spark, d), table).groupBy("is_oov", "is_stop", "pos").agg(F.count_distinct("normal").alias("n_normals"), count_of())
