@@ -148,29 +148,34 @@ _ENDINGS = f"(?:{'|'.join(L.SUFFIX_POS)})$"
 _BEGINNINGS = f"^(?:{'|'.join(L.PREFIX_POS)})"
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def _unknown_pos(word: Column, say: dict[str, str]) -> Column:
+    named = lambda table: _table({x: say[t] for x, t in table.items()})
+    ending = F.try_element_at(named(L.SUFFIX_POS), F.regexp_extract(word, _ENDINGS, 0))
+    beginning = F.try_element_at(named(L.PREFIX_POS), F.regexp_extract(word, _BEGINNINGS, 0))
+    return F.when(word.rlike(SMALL), F.coalesce(ending, beginning, F.lit(say["NOUN"]))).otherwise(say["PROPN"])
+
+
 def unknown_pos(word: Column) -> Column:
     """The tag of a word that no list has: a name unless in small letters, else by its ending or beginning."""
-    ending, beginning = F.regexp_extract(word, _ENDINGS, 0), F.regexp_extract(word, _BEGINNINGS, 0)
-    out = F.lit("NOUN")
-    for found, table in ((beginning, L.PREFIX_POS), (ending, L.SUFFIX_POS)):
-        for tag in dict.fromkeys(table.values()):
-            out = F.when(found.isin(*(x for x, t in table.items() if t == tag)), tag).otherwise(out)
-    return F.when(word.rlike(SMALL), out).otherwise("PROPN")
+    return _unknown_pos(word, {t: t for t in TAGS})
 
 
-def pos_of(token: Column) -> Column:
-    """Default tag: closed-class words by list, signs by type, other words as unknown_pos tells."""
-    low = F.lower(token)
+def pos_of(token: Column, say: dict[str, str] | None = None) -> Column:
+    """Default tag, or what ``say`` has for it: closed-class words by list, signs by type, other words as unknown_pos."""
+    say = say or {t: t for t in TAGS}
     kind = T.type_of(token)
-    guess = unknown_pos(token)
-    signs = F.when(kind == "word", guess).when(token.rlike("^[A-Z]"), "PROPN").otherwise("NOUN")
+    guess = _unknown_pos(token, say)
+    signs = F.when(kind == "word", guess).when(token.rlike("^[A-Z]"), say["PROPN"]).otherwise(say["NOUN"])
     for name, tag in L.TYPE_POS.items():
-        signs = F.when(kind == name, tag).otherwise(signs)
-    # letters alone are a word
-    out = F.when(token.rlike(r"^\p{L}+$"), guess).when(token.isin(*".,!?-()'\""), L.TYPE_POS["punctuation"]).otherwise(signs)
-    for tag, known in reversed(L.POS.items()):
-        out = F.when(low.isin(*known), tag).otherwise(out)
-    return out
+        signs = F.when(kind == name, say[tag]).otherwise(signs)
+    closed = {w: say[tag] for tag, own in reversed(L.POS.items()) for w in own}
+    # letters alone are a word; a list's words are looked for once
+    plain = F.when(F.lower(token).isin(*closed), F.element_at(_table(closed), F.lower(token)))
+    return F.coalesce(plain, F.when(token.rlike(r"^\p{L}+$"), guess).when(token.isin(*".,!?-()'\""), say[L.TYPE_POS["punctuation"]]).otherwise(signs))
 
 
 def contextual_pos(sentenced: DataFrame) -> DataFrame:
@@ -191,9 +196,9 @@ def contextual_pos(sentenced: DataFrame) -> DataFrame:
 
 def tag_string(text: Column, contextual: bool = False) -> Column:
     """The tags of a text's tokens as letters of TAGS, with a line end after each sentence; contextual_pos's if wanted."""
-    table = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
-    ends = lambda t: t.isin(".", "!", "?") | t.rlike(r"^[\n\r\t]+$")
-    out = F.array_join(F.transform(T.tokens(text), lambda t: F.concat(F.element_at(table, pos_of(t)), F.when(ends(t), "\n").otherwise(""))), "")
+    # a token that begins with a line end or a tab holds nothing else
+    ends = lambda t: F.ascii(t).isin(9, 10, 13) | t.isin(".", "!", "?")
+    out = F.array_join(F.transform(T.tokens(text), lambda t: F.concat(pos_of(t, TAGS), F.when(ends(t), "\n").otherwise(""))), "")
     for tag, to, before, after in L.POS_RULES if contextual else ():
         out = F.regexp_replace(out, (f"(?<={TAGS[before]})" if before else "") + TAGS[tag] + (f"(?={TAGS[after]})" if after else ""), TAGS[to])
     return out
@@ -248,11 +253,14 @@ def syllables_of(word: Column) -> Column:
     """Syllables: by list, else groups of vowels without a silent end, more or fewer by patterns, but at least one."""
     low = F.lower(word)
     bare = F.regexp_replace(low, L.SILENT_END, "")
-    count = F.regexp_count(bare, F.lit("[aeiouy]+"))
+    groups = F.regexp_count(bare, F.lit("[aeiouy]+"))
+    count = groups
     for pattern in L.MORE_SYLLABLES:
         count += bare.rlike(pattern).cast("int")
     for pattern in L.FEWER_SYLLABLES:
         count -= bare.rlike(pattern).cast("int")
+    # most words fit none of the patterns
+    count = F.when(bare.rlike("|".join((*L.MORE_SYLLABLES, *L.FEWER_SYLLABLES))), count).otherwise(groups)
     table = F.create_map(*[F.lit(x) for kv in L.SYLLABLES.items() for x in kv])
     return F.when(F.length(low) < 3, 1).when(low.isin(*L.SYLLABLES), F.element_at(table, low)).otherwise(F.greatest(count, F.lit(1)))
 

@@ -101,7 +101,7 @@ def token_count_by_lang(spark, d):
 
 @query(f"WITH {tok()}, {WORDS} SELECT term, count(*) AS freq FROM words GROUP BY term")
 def token_freq_table(spark, d):
-    return A.words(toks(spark, d)).groupBy("term").agg(count_of("freq"))
+    return A.words(by_value(spark, d)).groupBy("term").agg(F.sum("n").alias("freq"))
 
 
 @query(f"WITH {tok(more=', lang')}, {WORDS}, f AS (SELECT lang, term, count(*) AS freq FROM words GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, term) AS rk FROM f) WHERE rk <= 20")
@@ -127,9 +127,10 @@ def unique_first_pos(spark, d):
 
 @query(f"WITH {tok()}, p AS (SELECT lower(value) AS t1, lower(lead(value) OVER (PARTITION BY doc_id ORDER BY idx)) AS t2 FROM tok) SELECT t1, t2, count(*) AS freq FROM p WHERE t2 IS NOT NULL GROUP BY ALL")
 def bigram_freq(spark, d):
-    own = F.transform(T.tokens(F.col("text")), F.lower)
-    pairs = F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(1))), lambda a, b: F.struct(a.alias("t1"), b.alias("t2")))
-    return docs(spark, d).select(F.explode(pairs).alias("p")).select("p.*").filter("t2 is not null").groupBy("t1", "t2").agg(count_of("freq"))
+    rows = docs(spark, d).select(T.tokens(F.col("text")).alias("own")).filter(F.size("own") > 1)
+    pairs = F.arrays_zip(F.slice("own", 1, F.size("own") - 1).alias("a"), F.slice("own", 2, F.size("own") - 1).alias("b"))
+    counts = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(count_of("freq"))
+    return counts.groupBy(F.lower("a").alias("t1"), F.lower("b").alias("t2")).agg(F.sum("freq").alias("freq"))
 
 
 @query(f"WITH {tok()} SELECT {TYPE} AS type, count(*) AS n FROM tok GROUP BY ALL")
@@ -246,7 +247,7 @@ def entity_values(spark, d):
 
 @query(f"WITH {tok()}, {ENT} SELECT entity, count(*) AS n, count(DISTINCT value) AS n_values FROM ent GROUP BY ALL")
 def entity_type_freq(spark, d):
-    return A.entities(toks(spark, d)).groupBy("entity").agg(count_of(), F.count_distinct("value").alias("n_values"))
+    return A.entities(by_value(spark, d)).groupBy("entity").agg(F.sum("n").alias("n"), count_of("n_values"))
 
 
 @query(f"WITH {tok()}, {SENT}, ent AS (SELECT * FROM (SELECT *, {TYPE} AS type FROM sent) WHERE type IN ({listed(L.ENTITIES)})) SELECT doc_id, idx::BIGINT AS idx, sent_idx FROM ent")
