@@ -56,6 +56,11 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 SHAPES = (("[A-Z]{4,}", "\x01\x01\x01\x01"), ("[A-Z]", "\x01"), ("[a-z]{4,}", "\x02\x02\x02\x02"), ("[a-z]", "\x02"), (r"\d{4,}", "\x03\x03\x03\x03"), (r"\d", "\x03"))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is found once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """The tokens of a text; a word ending in n't is two. Null: null."""
     found = F.regexp_extract_all(text, F.lit(QUICK), F.lit(0))

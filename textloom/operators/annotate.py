@@ -63,42 +63,67 @@ def negation(sentenced: DataFrame) -> DataFrame:
     return sentenced.withColumn("negated", (F.coalesce(last, F.lit(0)) == 1) & mark.isNull() & F.col("value").rlike(r"[\p{L}\p{N}]"))
 
 
-#: Signs between tokens, before a token's value, and before one that a negation reaches: no characters of any text.
-SEP, OWN, REACHED = "\ufdd0", "\ufdd1", "\ufdd2"
-_ENDED = f"(?<=[{OWN}{REACHED}][.!?]{SEP})|(?<=[\n\r\t]{SEP})"
-_TURNS = rf"(?<={SEP})(?=\d*+{OWN}(?i:{'|'.join(map(re.escape, L.TERMINATORS))}){SEP})|{_ENDED}"
-_CUED = f"(?<={OWN}(?i:{'|'.join(map(re.escape, L.CUES))}){SEP})"
+#: Signs between tokens, before a token's value, before one that a negation reaches, and where a string is to be split:
+#: after sentences, around terminators and after cues. They are no characters of any text.
+SEP, OWN, REACHED, END, TURN, CUE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5"
+_ENDS = f"([{OWN}{REACHED}][.!?]{SEP}|[\n\r\t]{SEP})"
+_TURNS = rf"(\d*+{OWN}(?i:{'|'.join(map(re.escape, L.TERMINATORS))}){SEP})"
+_CUES = f"({OWN}(?i:{'|'.join(map(re.escape, L.CUES))}){SEP})"
+
+
+def _is_end(token: Column) -> Column:
+    """Whether a token ends a sentence; one that begins with a line end or a tab holds nothing else."""
+    return F.ascii(token).isin(9, 10, 13) | token.isin(".", "!", "?")
+
+
+def _own(text: Column) -> Column:
+    return T.tokens(F.translate(text, SEP + OWN + REACHED + END + TURN + CUE, "      "))
 
 
 def _string(text: Column, numbered: bool) -> Column:
     """A text's tokens as one string: each its number, if wanted, OWN, its value and SEP."""
-    own = T.tokens(F.translate(text, SEP + OWN + REACHED, "   "))
-    if numbered:
-        named = F.concat(F.array_join(F.transform(own, lambda t, i: F.concat(i.cast("string"), F.lit(OWN), t)), SEP), F.lit(SEP))
-    else:
-        named = F.concat(F.lit(OWN), F.array_join(own, SEP + OWN), F.lit(SEP))
-    return F.when(F.size(own) > 0, named).otherwise("")
+
+    def named(own: Column) -> Column:
+        if numbered:
+            out = F.concat(F.array_join(F.transform(own, lambda t, i: F.concat(i.cast("string"), F.lit(OWN), t)), SEP), F.lit(SEP))
+        else:
+            out = F.concat(F.lit(OWN), F.array_join(own, SEP + OWN), F.lit(SEP))
+        return F.when(F.size(own) > 0, out).otherwise("")
+
+    return T.let(_own(text), named)
 
 
 def _reached(string: Column) -> Column:
     """The string with REACHED for OWN after each cue, up to the next terminator or the end of the sentence."""
-    parts = F.transform(F.split(string, _TURNS), lambda x: F.split(x, _CUED, 2))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.coalesce(F.translate(F.get(p, F.lit(1)), OWN, REACHED), F.lit("")))), "")
+
+    def marked(string: Column) -> Column:
+        turns = F.regexp_replace(F.regexp_replace(string, _TURNS, f"{TURN}$1"), _ENDS, f"$1{TURN}")
+        parts = F.transform(F.split(F.regexp_replace(turns, _CUES, f"$1{CUE}"), TURN), lambda x: F.split(x, CUE, 2))
+        out = F.array_join(F.transform(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.coalesce(F.translate(F.get(p, F.lit(1)), OWN + CUE, REACHED), F.lit("")))), "")
+        return F.when(string.rlike(_CUES), out).otherwise(string)
+
+    return T.let(string, marked)
 
 
 def _pieces(string: Column) -> Column:
     """The sentences of a string, each with its tokens' signs."""
-    return F.array_remove(F.split(string, _ENDED), "")
+    return F.array_remove(F.split(F.regexp_replace(string, _ENDS, f"$1{END}"), END), "")
 
 
 def n_sentences(text: Column) -> Column:
-    return F.size(_pieces(_string(text, False))).cast("long")
+    """One for each token that ends a sentence, and one for what follows the last; null without tokens."""
+
+    def counted(own: Column) -> Column:
+        after = F.when(_is_end(F.element_at(own, -1)), 0).otherwise(1)
+        return F.when(F.size(own) > 0, F.size(F.filter(own, _is_end)) + after).cast("long")
+
+    return T.let(_own(text), counted)
 
 
 def annotated(df: DataFrame, *carry: str, text: str = "text", key: str = "doc_id", numbered: bool = True, negated: bool = True) -> DataFrame:
     """(doc_id, carried columns, sent_idx, idx, value, negated), a row a token, without a shuffle; idx if numbered.
 
-    Sentences and negation are those of ``sentences`` and ``negation``. The noncharacters U+FDD0 to U+FDD2 count as
+    Sentences and negation are those of ``sentences`` and ``negation``. The noncharacters U+FDD0 to U+FDD5 count as
     spaces. A null or blank text has no rows; a doc_id may repeat.
     """
     string = _string(F.col(text), numbered)
@@ -196,9 +221,7 @@ def contextual_pos(sentenced: DataFrame) -> DataFrame:
 
 def tag_string(text: Column, contextual: bool = False) -> Column:
     """The tags of a text's tokens as letters of TAGS, with a line end after each sentence; contextual_pos's if wanted."""
-    # a token that begins with a line end or a tab holds nothing else
-    ends = lambda t: F.ascii(t).isin(9, 10, 13) | t.isin(".", "!", "?")
-    out = F.array_join(F.transform(T.tokens(text), lambda t: F.concat(pos_of(t, TAGS), F.when(ends(t), "\n").otherwise(""))), "")
+    out = F.array_join(F.transform(T.tokens(text), lambda t: F.concat(pos_of(t, TAGS), F.when(_is_end(t), "\n").otherwise(""))), "")
     for tag, to, before, after in L.POS_RULES if contextual else ():
         out = F.regexp_replace(out, (f"(?<={TAGS[before]})" if before else "") + TAGS[tag] + (f"(?={TAGS[after]})" if after else ""), TAGS[to])
     return out
@@ -249,10 +272,16 @@ def entities(tokens: DataFrame) -> DataFrame:
     return kinds.withColumn("entity", named).drop("type")
 
 
-def syllables_of(word: Column) -> Column:
-    """Syllables: by list, else groups of vowels without a silent end, more or fewer by patterns, but at least one."""
-    low = F.lower(word)
-    bare = F.regexp_replace(low, L.SILENT_END, "")
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), L.SILENT_END, "")
+
+
+def syllables_of(word: Column, bare: Column | None = None) -> Column:
+    """Syllables: by list, else groups of vowels without a silent end, more or fewer by patterns, but at least one.
+
+    ``bare`` is the word as _bare makes it, if it is at hand.
+    """
+    low, bare = F.lower(word), _bare(word) if bare is None else bare
     groups = F.regexp_count(bare, F.lit("[aeiouy]+"))
     count = groups
     for pattern in L.MORE_SYLLABLES:
@@ -260,16 +289,16 @@ def syllables_of(word: Column) -> Column:
     for pattern in L.FEWER_SYLLABLES:
         count -= bare.rlike(pattern).cast("int")
     # most words fit none of the patterns
-    count = F.when(bare.rlike("|".join((*L.MORE_SYLLABLES, *L.FEWER_SYLLABLES))), count).otherwise(groups)
+    count = F.when(bare.rlike("|".join((*L.MORE_SYLLABLES, *L.FEWER_SYLLABLES))), F.greatest(count, F.lit(1))).otherwise(F.greatest(groups, F.lit(1)))
     table = F.create_map(*[F.lit(x) for kv in L.SYLLABLES.items() for x in kv])
-    return F.when(F.length(low) < 3, 1).when(low.isin(*L.SYLLABLES), F.element_at(table, low)).otherwise(F.greatest(count, F.lit(1)))
+    return F.when(F.length(low) < 3, 1).when(low.isin(*L.SYLLABLES), F.element_at(table, low)).otherwise(count)
 
 
 def readability(df: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_sentences, n_syllables, n_complex, fres): Flesch's ease, of documents with a word."""
     counted = df.select("doc_id", n_sentences(F.col("text")).alias("n_sentences"), T.tokens(F.col("text")).alias("values"))
     rows = counted.select("doc_id", "n_sentences", F.explode("values").alias("value"))
-    rows = rows.filter(F.col("value").rlike(r"^[\p{L}]")).withColumn("syllables", syllables_of(F.col("value")))
+    rows = rows.filter(F.col("value").rlike(r"^[\p{L}]")).withColumn("bare", _bare(F.col("value"))).withColumn("syllables", syllables_of(F.col("value"), F.col("bare")))
     out = rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"),
         F.max("n_sentences").alias("n_sentences"),

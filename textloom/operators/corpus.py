@@ -19,27 +19,44 @@ def lengths(counts: DataFrame) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
 
 
+def _shape(counts: DataFrame) -> Column:
+    """How many documents there are, and their mean length: one value, found in the job that uses it."""
+    return lengths(counts).agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("mean")).alias("shape")).scalar()
+
+
 def bm25_idf(counts: DataFrame, n_docs: int | None = None, k: float = 1.0, precision: int = 6) -> DataFrame:
     """(term, idf) from (doc_id, term, tf), of ``n_docs`` documents or else of those that have a term."""
-    size = F.lit(float(n_docs)) if n_docs is not None else lengths(counts).agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    size = F.lit(float(n_docs)) if n_docs is not None else _shape(counts)["n"]
     rows = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("term", F.round(F.log((size - F.col("n") + 0.5) / (F.col("n") + 0.5) + F.lit(float(k))), precision).alias("idf"))
 
 
 def bm25_weights(counts: DataFrame, k: float = 1.0, k1: float = 1.2, b: float = 0.75, norm: str = "none", precision: int = 6) -> DataFrame:
-    """(doc_id, term, w). Raises for a norm other than none, l1 and l2; an empty bag gives an empty result."""
+    """(doc_id, term, w). Raises for a norm other than none, l1 and l2; an empty bag gives an empty result.
+
+    Lengths and norms are windows over documents: counts that are dealt out by doc_id, as of ``dealt``, stay where
+    they are.
+    """
     if norm not in ("none", "l1", "l2"):
         raise ValueError(f"norm {norm}")
-    # the mean length is one value, found in the same job
-    mean = F.coalesce(F.nullif(lengths(counts).agg(F.avg("dl").alias("mean")).scalar(), F.lit(0.0)), F.lit(1.0))
-    rows = counts.join(bm25_idf(counts, None, k, precision), "term").join(lengths(counts), "doc_id")
+    own = Window.partitionBy("doc_id")
+    mean = F.coalesce(F.nullif(_shape(counts)["mean"], F.lit(0.0)), F.lit(1.0))
+    rows = counts.withColumn("dl", F.sum("tf").over(own)).join(bm25_idf(counts, None, k, precision), "term")
     bound = F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / mean) + F.col("tf")
     rows = rows.withColumn("w", F.col("idf") * F.lit(k1 + 1.0) * F.col("tf") / bound)
-    own = Window.partitionBy("doc_id")
     size = {"none": F.lit(1.0), "l1": F.sum(F.abs("w")).over(own), "l2": F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))}[norm]
     return rows.select("doc_id", "term", F.round(F.col("w") / F.when(size == 0, 1.0).otherwise(size), precision).alias("w"))
 
 
+def dealt(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, term, tf) of the words of df's texts, dealt out by doc_id: tokens are found once, and move once, as one
+    row a document, however many times a plan reads the counts."""
+    from textloom.functions import text as T
+
+    rows = df.select(F.col(key).alias("doc_id"), T.tokens(F.col(text)).alias("own")).repartition("doc_id").select("doc_id", F.explode("own").alias("value"))
+    return rows.filter(F.col("value").rlike(r"[\p{L}]")).groupBy("doc_id", F.lower("value").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+
+
 @dataclass
 class Bm25:
     """What a corpus taught: (term, idf), the number of documents and their mean length; and the settings of weights."""

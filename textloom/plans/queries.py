@@ -13,7 +13,7 @@ from textloom.operators import corpus as C
 from textloom.operators import lexicon as LEX
 from textloom.operators import patterns as P
 from textloom.operators import spans as S
-from textloom.sources.tables import read
+from textloom.sources.tables import read, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,7 +74,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents")
+    return spread(read(spark, d, "documents"))
 
 
 def toks(spark: SparkSession, d: str, *carry: str) -> DataFrame:
@@ -112,7 +112,7 @@ def top_terms_per_lang(spark, d):
 
 @query(f"WITH {tok()}, {WORDS} SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL")
 def doc_bow(spark, d):
-    return C.bag(A.words(toks(spark, d)))
+    return C.dealt(docs(spark, d))
 
 
 @query(f"WITH {tok()}, {WORDS} SELECT doc_id, count(DISTINCT term) AS n_unique FROM words GROUP BY ALL")
@@ -209,7 +209,8 @@ def in_vocab_terms(spark, d):
 
 @query(f"WITH {tok()}, {SENT} SELECT doc_id, max(sent_idx) + 1 AS n_sentences FROM sent GROUP BY ALL")
 def sentence_count(spark, d):
-    return docs(spark, d).select("doc_id", A.n_sentences(F.col("text")).alias("n_sentences")).filter("n_sentences > 0")
+    # a filter would find the number twice
+    return docs(spark, d).select("doc_id", F.explode(F.array_compact(F.array(A.n_sentences(F.col("text"))))).alias("n_sentences"))
 
 
 @query(f"WITH {tok()}, {SENT} SELECT doc_id, sent_idx, min(idx)::BIGINT AS first, max(idx)::BIGINT AS last, string_agg(value, ' ' ORDER BY idx) AS text FROM sent GROUP BY ALL")
@@ -301,12 +302,12 @@ def lemma_freq(spark, d):
 
 @query(f"WITH {tok()}, {WORDS}, {BM25} SELECT term, idf FROM idf")
 def bm25_idf(spark, d):
-    return C.bm25_idf(C.bag(A.words(toks(spark, d))))
+    return C.bm25_idf(C.dealt(docs(spark, d)))
 
 
 def _bm25(norm: str, size: str):
     def run(spark, d):
-        return C.bm25_weights(C.bag(A.words(toks(spark, d))), norm=norm)
+        return C.bm25_weights(C.dealt(docs(spark, d)), norm=norm)
 
     run.__name__ = f"bm25_{norm}"
     return query(f"WITH {tok()}, {WORDS}, {BM25} SELECT doc_id, term, round(w / coalesce(nullif({size}, 0), 1), 6) AS w FROM raw")(run)
@@ -319,7 +320,7 @@ for _norm, _size in (("none", "1.0::DOUBLE"), ("l1", "sum(abs(w)) OVER (PARTITIO
 @query(f"""WITH {tok()}, {WORDS}, {BM25}, ranked AS (SELECT doc_id, round(sum(w), 4) AS score FROM raw WHERE term IN ('the', 'of', 'with', 'trash') GROUP BY ALL)
 SELECT doc_id, score, rk FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rk FROM ranked) WHERE rk <= 50""")
 def bm25_search_topk(spark, d):
-    weights = C.bm25_weights(C.bag(A.words(toks(spark, d))), precision=15).filter(F.col("term").isin("the", "of", "with", "trash"))
+    weights = C.bm25_weights(C.dealt(docs(spark, d)), precision=15).filter(F.col("term").isin("the", "of", "with", "trash"))
     best = weights.groupBy("doc_id").agg(F.round(F.sum("w"), 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
     return best.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
 
@@ -538,7 +539,7 @@ _bound = f"(1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {len(ASKED)} / mean))"
 
 
 def _model(spark, d, norm="none"):
-    return C.Bm25.learn(C.bag(A.words(toks(spark, d))), norm=norm)
+    return C.Bm25.learn(C.dealt(docs(spark, d)), norm=norm)
 
 
 @query(f"""WITH {tok()}, {WORDS}, {BM25}, {_asked}, own AS MATERIALIZED (SELECT term, idf * 2.2::DOUBLE * asked.tf / ({_bound} + asked.tf) AS w FROM asked JOIN idf USING (term), shape WHERE idf <> 0),
@@ -564,7 +565,7 @@ def bm25_terms(spark, d):
 SELECT doc_id, string_agg(position::VARCHAR, ' ' ORDER BY position) AS positions, round(sum(round(w, 6)), 3) AS total FROM raw JOIN p USING (term) GROUP BY doc_id""")
 def bm25_doc_term_matrix(spark, d):
     """The sparse rows of the matrix: columns, and the sum of their weights."""
-    counts = C.bag(A.words(toks(spark, d)))
+    counts = C.dealt(docs(spark, d))
     rows = C.doc_term_matrix(C.bm25_weights(counts), C.Bm25.learn(counts).terms())
     return rows.select("doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 

@@ -10,6 +10,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+#: A table of at most so many bytes a core is dealt to all cores before its texts are worked on.
+SPREAD = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt evenly to all cores; a larger one as it is read.
+
+    A small table is often one row group, which one task reads, however many splits its file has. Only what is read of
+    it is moved. Tables beyond SPREAD bytes a core have row groups enough, and moving them would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD * cores else df
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of text files, one document a file; doc_id is a hash of the file's name."""
     from pyspark.sql import functions as F
