@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -214,18 +215,44 @@ def test_pack():
         assert token_output.unpack(*token_output.pack(numbers[:n]), n).tolist() == numbers[:n].tolist()
 
 
+def plain_digest(text: bytes) -> tuple:
+    """A digest by hand: length code, ratio codes, and the quartile that each bucket's count falls in."""
+    f, g, h = fingerprint._FIRST.tolist(), fingerprint._SECOND.tolist(), fingerprint._THIRD.tolist()
+    counts = [0] * 256
+    for a, b, c in zip(text, text[1:], text[2:], strict=False):
+        counts[f[a] ^ g[f[b]] ^ h[c]] += 1
+    q1, q2, q3 = (sorted(counts)[i] for i in (63, 127, 191))
+    codes = [(n > q1) + (n > q2) + (n > q3) for n in counts]
+    return min(255, int(np.log1p(len(text)) * 12)), (q1 * 15 // q3, q2 * 15 // q3) if q3 else (0, 0), codes
+
+
+def plain_likeness(x: bytes, y: bytes) -> float:
+    (n, (p, q), a), (m, (r, s), b) = plain_digest(x), plain_digest(y)
+    apart = sum([0, 1, 2, 6][abs(i - j)] for i, j in zip(a, b, strict=True)) + min(64, abs(n - m)) + abs(p - r) + abs(q - s)
+    return 1 - apart / (6 * 256 + 64 + 30)
+
+
+def plain_hex(text: bytes) -> str:
+    n, (p, q), codes = plain_digest(text)
+    return bytes([n, p << 4 | q, *(sum(codes[i + j] << 2 * j for j in range(4)) for i in range(0, 256, 4))]).hex()
+
+
 def test_fingerprints(spark, rows):
     own = sorted([(d, t or "") for d, t, _ in rows], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want = []
     for (d, t), (_, after) in zip(own, [*own[1:], own[0]], strict=True):
-        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.digest(t.encode()).hex()))
+        edited = (t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()
+        want.append((d, len(t), hashlib.sha256(edited).hexdigest(), plain_hex(t.encode()), plain_hex(edited), plain_likeness(t.encode(), edited), plain_likeness(t.encode(), after.encode())))
     df = table(spark, rows)
     got = fingerprint.fingerprints(df).collect()
-    assert sorted(map(str, (tuple(r)[:4] for r in got))) == sorted(map(str, want))
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     assert fingerprint.fingerprints(empty(df)).count() == 0
     assert fingerprint.likeness(*[fingerprint.digest(b"some text")] * 2) == 1
+    # a table's only row follows itself
+    only = fingerprint.fingerprints(spark.createDataFrame([(1, "abcd" * 500)], "doc_id long, text string")).collect()
+    assert len(only) == 1 and only[0].near_next == 1
+    # the bound on the difference
+    assert all(0 <= fingerprint.difference(fingerprint.digest(x), fingerprint.digest(y)) <= fingerprint.MOST for x in (b"", b"a" * 9999, bytes(range(256)) * 9) for y in (b"", b"zq" * 4000, b"abc"))
 
 
 def test_language_id(spark):
@@ -295,6 +322,51 @@ def test_html(html, text):
     assert html_extract.extract(html) == text
 
 
+PAGES = {
+    # a page as the tables have them: navigation, an advert, an article with unclosed and nested parts, a footer
+    "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>a</a></li></ul></nav><!-- ad 1 --><div class=\"ad\">Buy now, cheap.</div><article><h1>Head &eacute;</h1><p><b>One, two.<br><p>Three</p><p>Four &amp; five\n  six</p></article><footer>&copy; x</footer>": "Head \u00e9\nOne, two.\nThree\nFour & five six",
+    # scoring decides: no article, the longer column wins, the menu of links and the short box go
+    "<div><div><a href=x>One</a> <a href=y>Two</a> <a href=z>Three</a></div><div><p>{0}</p><p>{0}</p></div><div><p>Short.</p></div></div>": "{0}\n{0}",
+    # names of noise are points against, not a verdict: an article's column keeps its text, a box of comments goes
+    "<div class='share-price story'><p>{0}</p></div><div id='comments'><p>{0} Nice!</p></div>": "{0}",
+    "<div class='sidebar-left'><h1>Head</h1><p>{0}</p></div>": "Head\n{0}",
+    "<div class='sidebar'><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></div>": "{0}\n{0}\n{0}\n{0}",
+    # all top containers, beside the best one and further up
+    "<body><article><p>{0}</p></article><article><p>B. {0}</p></article></body>": "{0}\nB. {0}",
+    "<div><div><div><p>{0}</p><p>{0}</p></div></div><div><div><p>{0}</p><p>{0}</p></div></div></div>": "{0}\n{0}\n{0}\n{0}",
+    "<form><h1>Head</h1><p>{0}</p><select><option>x</select></form>": "Head\n{0}",
+    "<article><header><h1>Head</h1></header><p>{0}</p><aside>No</aside><p hidden>No</p><div class='related-posts'><p>No</p></div><ul><li>a<li>b</ul></article>": "Head\n{0}\na\nb",
+    "<table><tr><td><p>{0}</p><td>x</table>": "{0}\nx",
+    "  \n ": "",
+    "<div class='ad'><p>Buy, buy, buy</p></div>": "",
+}
+LONG = "Some words, and more of them, and then again, as many as a text has, which goes on; it says, in short, nothing."
+
+
+@pytest.mark.parametrize("html", PAGES)
+def test_html_pages(html):
+    assert html_extract.extract(html.replace("{0}", LONG)) == PAGES[html].replace("{0}", LONG)
+
+
+def test_html_extract(spark):
+    pages = [(i, f"u{i}", h) for i, h in enumerate(PAGES)]
+    odd = [(None, None, "<p>A, b"), (900, "x", None), (901, "x", ""), pages[0], (902, "x", "<p>" + LONG * 5000), (903, "x", "<b \"<'&#0;&#x110000;&nbsp;x")]
+    df = spark.createDataFrame([*pages, *odd], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = sorted(map(str, html_extract.html_extract(df).collect()))
+    from pyspark.sql import Row
+
+    want = [(p, u, html_extract.extract(h)) for p, u, h in [*pages, *odd]]
+    assert got == sorted(str(Row(page_id=p, url=u, text=t, n_chars=len(t))) for p, u, t in want)
+    assert html_extract.html_extract(empty(df)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + "x", "<nav>" + "<span>" * 50_000, "<p><table><td>" + "<div>" * 50_000 + "a, b", "<li>" * 50_000, "<b>" * 50_000 + "x", "</p>" * 50_000, "<a \"" * 50_000])
+def test_html_deep(html):
+    start = time.perf_counter()
+    html_extract.extract(html)
+    assert time.perf_counter() - start < 3
+
+
 def test_html_siblings():
     part = "<p>" + "Some words, and more of them, " * 6 + "{}.</p>"
     one, two, three = (part.format(x) for x in "abc")
@@ -359,6 +431,11 @@ def test_url_filter(spark):
     assert got[2][2:] == ("example.net/de/8", "block") and got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("org/es/", "block")
     assert got[5][:3] == got[6][:3] == got[7][:3] == ("", "", None) and got[8][2] is None
     assert got[9][3] == "block" and got[10][3] == "allow"
+    assert url_filter.url_filter(empty(df)).count() == 0
+    # urls that the model has not seen, a repeated row, a null id, and a long url
+    new = [(1, "https://ads.popbanner.com/click/redirect?x"), (2, "https://library.university.edu/history/lectures"), (3, "http://bonus-casino.win/jackpot/free"), (4, "http://wiki.garden.org/en/soil"), (4, "http://wiki.garden.org/en/soil"), (None, "x://a.com/en/"), (5, f"http://b.net/{'a/' * 20_000}")]
+    got = sorted(map(str, ((r.page_id, r.verdict, len(r.path)) for r in url_filter.url_filter(spark.createDataFrame(new, "page_id long, url string")).collect())))
+    assert got[:5] == ["(1, 'block', 15)", "(2, 'allow', 17)", "(3, 'block', 13)", "(4, 'allow', 8)", "(4, 'allow', 8)"] and got[5].endswith("40001)") and got[6] == "(None, 'block', 4)"
 
 
 def test_pipeline(spark):

@@ -71,7 +71,7 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _PASSING.remove(made)
+        _PASSING.pop()
         for path in made:
             _delete(spark, path)
 
