@@ -631,3 +631,60 @@ def lexicon_tags(spark, d):
     """What a user's lexicon tells of the tokens."""
     table = spark.createDataFrame(LEXEMES, "lexeme string, normal string, pos array<string>, lemma string, is_stop boolean")
     return LEX.annotate(toks(spark, d), table).groupBy("is_oov", "is_stop", "pos").agg(F.count_distinct("normal").alias("n_normals"), count_of())
+
+
+@query(f"""WITH {tok()}, parts AS (SELECT doc_id, regexp_extract_all(text, '{_SPACED}', 1) AS sp, regexp_extract_all(text, '{_SPACED}', 2) AS vs FROM documents),
+spaced AS (SELECT doc_id, unnest(flatten(list_transform(range(1, len(vs) + 1), lambda i: CASE WHEN regexp_matches(vs[i], '{q(T.NEGATED)}') THEN [sp[i], ''] ELSE [sp[i]] END))) AS sp FROM parts)
+SELECT length(sp) AS n_spaces, count(*) AS n FROM spaced GROUP BY ALL""")
+def preceding_spaces(spark, d):
+    """How many spaces are before tokens."""
+    return A.tokenize_spaced(docs(spark, d)).groupBy(F.length("spaces").cast("long").alias("n_spaces")).agg(count_of())
+
+
+@query(f"WITH {tok()}, {TYPED} SELECT doc_id, {NORMAL} AS item, count(*) AS n FROM typed WHERE type = 'word' GROUP BY ALL")
+def engine_freq_table(spark, d):
+    """The fluent way: words by their normal form, and how often each document has them."""
+    from textloom.engine import Engine, as_, its
+
+    return Engine(()).read(docs(spark, d)).tokens().filter("type = 'word'").out(its.normal, as_.freq_table)
+
+
+@query(f"""WITH {tok()}, {SENT}, {SENT_SPANS}, {PHRASES} SELECT s.doc_id, sent_idx, count(p.first) AS n_inside FROM spans s LEFT JOIN phrases p ON p.doc_id = s.doc_id AND p.first >= s.first AND p.last <= s.last GROUP BY ALL""")
+def phrases_inside_sentences(spark, d):
+    """How many phrases lie inside each sentence whole."""
+    phrases = A.phrase_entities(docs(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    rows = _sentence_spans(spark, d).join(phrases, "doc_id", "left")
+    listed = F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    return rows.select("doc_id", F.col("idx").alias("sent_idx"), F.size(S.contained(F.col("first"), F.col("last"), listed)).cast("long").alias("n_inside"))
+
+
+@query(f"""WITH {tok()}, {SENT}, {SENT_SPANS}, {PHRASES} SELECT p.doc_id, p.first, sent_idx AS parent FROM phrases p LEFT JOIN spans s ON p.doc_id = s.doc_id AND p.first BETWEEN s.first AND s.last""")
+def phrase_parents(spark, d):
+    """The sentence that each phrase begins in."""
+    return S.parents(A.phrase_entities(docs(spark, d)), _sentence_spans(spark, d)).select("doc_id", F.col("first").cast("long").alias("first"), "parent")
+
+
+#: Patterns over words: names, patterns, and what of a match is marked.
+WORD_PATTERNS = [("of the", "[of|the] [the|and|of] [|and]"), ("and", "and"), ("0", "[and] [the]")]
+
+
+@query(f"""WITH {tok()}, letters AS (SELECT doc_id, string_agg(CASE lower(value) WHEN 'the' THEN 't' WHEN 'of' THEN 'o' WHEN 'and' THEN 'a' ELSE '.' END, '' ORDER BY idx) AS s FROM tok GROUP BY doc_id),
+bit AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_extract_all(s, '[ot][tao]a|[ot][tao]|at|a|.') AS ps FROM letters)),
+put AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - 1 AS last FROM bit)
+SELECT doc_id, last - length(p) + 1 AS first, last, CASE WHEN p = 'a' THEN 'and' ELSE 'of the' END AS name FROM put WHERE p NOT IN ('.', 'o', 't', 'at')""")
+def word_patterns(spark, d):
+    """Patterns over lower-cased tokens, leftmost and longest; what is named 0 is dropped."""
+    symbols = F.transform(T.tokens(F.col("text")), F.lower)
+    return P.match(docs(spark, d).select("doc_id", symbols.alias("symbols")), WORD_PATTERNS)
+
+
+@query("""WITH asked AS (SELECT 'W' || (vec_id * 3) AS word FROM embeddings), v AS (SELECT 'w' || vec_id AS w, embedding FROM embeddings)
+SELECT word, round(coalesce(list_sum(embedding[1:8]::DOUBLE[]), 4.0), 4) AS total FROM asked LEFT JOIN v ON lower(word) = w""")
+def word_vectors(spark, d):
+    """Words looked up in lower case in a table of vectors: the sum of their first eight numbers, halves for unknown ones."""
+    from textloom.operators.vectors import vector_of
+
+    rows = read(spark, d, "embeddings")
+    asked = rows.select(F.concat(F.lit("W"), F.col("vec_id") * 3).alias("word"))
+    found = vector_of(asked, rows.select(F.concat(F.lit("w"), F.col("vec_id")).alias("word"), F.col("embedding").alias("vec")), 8, unknown=[0.5] * 8)
+    return found.select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
