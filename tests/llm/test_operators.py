@@ -54,7 +54,8 @@ def empty(df):
     return df.filter("false")
 
 
-def test_substring_dedup(spark, rows):
+def deduped(rows):
+    """(doc_id, words, removed, kept text) by brute force."""
     first, k = {}, 13
     words = [(d, (t or "").encode().split()) for d, t, _ in rows]
     for d, w in words:
@@ -69,7 +70,11 @@ def test_substring_dedup(spark, rows):
             if d is not None and first[tuple(w[i : i + k])] < d:
                 gone[i : i + k] = [True] * k
         want.append((d, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
-    df = table(spark, rows)
+    return want
+
+
+def test_substring_dedup(spark, rows):
+    want, df = deduped(rows), table(spark, rows)
     got = [tuple(r) for r in substring_dedup(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert substring_dedup(empty(df)).count() == 0
@@ -80,7 +85,8 @@ def sets_of(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard_join(spark, rows, monkeypatch):
+def joined(rows):
+    """(doc_id, set size, component) by brute force."""
     root = {d: d for d, _, _ in rows}
 
     def find(x):
@@ -93,8 +99,11 @@ def test_jaccard_join(spark, rows, monkeypatch):
         if x and y and 100 * len(x & y) >= 75 * len(x | y):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
-    want = [(d, len(sets_of(t)), None if d is None else find(d)) for d, t, _ in rows]
-    df = table(spark, rows)
+    return [(d, len(sets_of(t)), None if d is None else find(d)) for d, t, _ in rows]
+
+
+def test_jaccard_join(spark, rows, monkeypatch):
+    want, df = joined(rows), table(spark, rows)
     assert sorted(map(str, (tuple(r) for r in jaccard_join.jaccard_join(df).collect()))) == sorted(map(str, want))
     monkeypatch.setattr(jaccard_join, "DENSE", 3)  # so that families occur
     monkeypatch.setattr(jaccard_join, "CELL_BYTES", 600)
@@ -388,6 +397,33 @@ def test_quality(spark):
     assert not got[500] and not got[501] and quality.quality(empty(df)).count() == 0
 
 
+def test_estimate():
+    """Expectation-maximisation over documents one by one."""
+    rng = random.Random(11)
+    docs = []
+    for _ in range(300):
+        good = rng.random() < 0.8
+        votes = "".join(str(rng.choices((0, 1, 2), (0.05, 0.35, 0.6) if good else (0.5, 0.4, 0.1))[0]) for _ in quality.LABELLERS)
+        docs.append(votes + ("0" if rng.random() < 0.05 else "1"))
+    p = []
+    for v in docs:
+        good, bad = v[:-1].count("2"), v[:-1].count("0")
+        p.append((good + 0.5) / (good + 8 * bad + 1) if bad else (good + 0.9) / (good + 1))
+    for _ in range(quality.ROUNDS):
+        prior = [(sum(1 - x for x in p) + 1) / (len(docs) + 2), (sum(p) + 1) / (len(docs) + 2)]
+        chance = {}
+        for j in range(len(quality.LABELLERS)):
+            for of in (0, 1):
+                n = [sum((x if of else 1 - x) for x, v in zip(p, docs, strict=True) if v[j] == vote) for vote in "02"]
+                n = [n[0] + (0.5 if of else 1.5), n[1] + (1.5 if of else 0.5)]
+                chance[j, of] = {"0": n[0] / sum(n), "2": n[1] / sum(n), "1": 1.0}
+        odds = [[prior[of] * np.prod([chance[j, of][v[j]] for j in range(len(quality.LABELLERS))]) for of in (0, 1)] for v in docs]
+        p = [b / (a + b) for a, b in odds]
+    got = quality.estimate(dict(Counter(docs)))
+    assert all(got[v] == pytest.approx(0 if v[-1] == "0" else x) for v, x in zip(docs, p, strict=True))
+    assert quality.estimate({}) == {}
+
+
 def test_quality_toxic(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
