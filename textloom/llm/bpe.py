@@ -143,7 +143,8 @@ def bpe(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``path`` is a rank file that must hold all 256 bytes and be readable at the same place on every executor;
     ``pattern`` splits text into words, and text between matches is lost, as in the libraries. Null text: empty;
-    null doc_id and repeated rows: kept. Special tokens' strings are ordinary text. Other columns are ignored.
+    null doc_id and repeated rows: kept. Special tokens' strings are ordinary text. A text of any length is encoded
+    whole, and a long word in n log n steps. Other columns are ignored; an empty table gives an empty result.
     """
     return documents(df).mapInArrow(_bpe(path, pattern), "doc_id long, ids array<int>, decoded binary")
 

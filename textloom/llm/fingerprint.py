@@ -85,8 +85,8 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many (or all) first ones of the next
     document; the next one follows in the order of doc_id, then text; after the last comes the first. A null doc_id
-    comes first; null text is empty; a table's only row follows itself. Other columns are ignored; an empty table
-    gives an empty result.
+    comes first; null text is empty; a table's only row follows itself; repeated rows follow each other. A text of any
+    length is digested whole, one at a time. Other columns are ignored; an empty table gives an empty result.
 
     Documents are dealt into ranges of ids. Each range also gets the first document of the one after it, so that
     every task sees its rows' followers and nothing is ordered in one place.

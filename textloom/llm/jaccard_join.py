@@ -416,8 +416,8 @@ def jaccard_join(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
 
     Words have A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence as one if there are
     fewer words. Null, empty and blank texts have an empty set, which links with nothing: component_id is doc_id. A
-    null doc_id links with nothing and has a null component_id. Rows that repeat are returned as often. Other
-    columns are ignored; an empty table gives an empty result.
+    null doc_id links with nothing and has a null component_id. Rows that repeat are returned as often. A text of any
+    length is one set, which a task holds. Other columns are ignored; an empty table gives an empty result.
     """
     sets, links = jaccard_links(df, k, percent)
     roots = store(components(links.select("a", "b")))

@@ -113,8 +113,8 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, k: int = K, carry: tupl
     """Per row of df (doc_id, text): doc_id, the columns to carry, n_words, n_removed, kept (words joined by one space).
 
     Null or empty text: no words, nothing removed. Null doc_id: the row is kept whole and is nobody's earlier
-    document. Rows that repeat a doc_id are not earlier than each other. Other columns are ignored. An empty table
-    gives an empty result. ``k`` must be at most ``window`` and at least half of it.
+    document. Rows that repeat a doc_id are not earlier than each other. A text of any length is one row of one task,
+    whose windows are rows. Other columns are ignored. An empty table gives an empty result. ``k`` must be at most ``window`` and at least half of it.
     """
     spark = df.sparkSession
     docs = documents(df).withColumn("key", F.xxhash64("text"))

@@ -74,7 +74,7 @@ def url_filter(df: DataFrame, rules=RULES, model: tuple[list[float], float] | No
 
     Null urls, and urls without ``://``, have an empty host and path, and the model judges them as such (so all alike).
     The longest of the rules that fit gives the verdict, the first of equally long ones. Ports and user names are
-    part of the host. Repeated rows are returned as often; other columns are ignored; an empty table gives an empty
+    part of the host. A url of any length is judged whole. Repeated rows are returned as often; other columns are ignored; an empty table gives an empty
     result.
     """
     weights, bias = model or train()
